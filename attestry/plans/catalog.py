@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.plans import drift_nested, listings, reporting
+from attestry.plans import drift_nested, evidence, listings, reporting
 
-MODULES = [drift_nested, listings, reporting]
+MODULES = [drift_nested, listings, reporting, evidence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.plans import drift_nested, evidence, listings, reporting, texts, time
+from attestry.plans import drift_nested, evidence, grades, listings, reporting, texts, time
 
-MODULES = [drift_nested, listings, reporting, evidence, texts, time]
+MODULES = [drift_nested, listings, reporting, evidence, texts, time, grades]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -101,8 +101,8 @@ def stale_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (kpis, type_breakdown, volume_buckets, turnaround, flag_reasons_top5, machine_verdicts, verdict_histogram, flag_agreement, decisions_by_reviewer, flagged_three_ways, facts_by_source_label, unknown_analyzers, numeric_facts, late_completions, stale_contracts)}
 
-_LATEST = "SELECT * FROM reviews WHERE job_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY reviewed_at DESC, review_id DESC) = 1"
-_RESULTS = """
+LATEST = "SELECT * FROM reviews WHERE job_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY reviewed_at DESC, review_id DESC) = 1"
+RESULTS = """
     WITH p AS (SELECT DISTINCT id, status, payload_json FROM jobs),
     v AS (SELECT id, status, CASE WHEN json_valid(payload_json) THEN CASE WHEN json_type(payload_json) = 'VARCHAR' THEN json_extract_string(payload_json, '$') ELSE payload_json END END AS doc FROM p),
     w AS (SELECT id, status, CASE WHEN json_valid(doc) THEN doc END AS doc FROM v),
@@ -114,7 +114,7 @@ _RESULTS = """
       FROM (SELECT id, unnest(json_extract(doc, '$.results[*]')) AS e FROM w WHERE json_type(doc, '$.results') = 'ARRAY')
     )
 """
-_VERDICTS = _RESULTS + """,
+VERDICTS = RESULTS + """,
     g AS (SELECT id, count(*) AS graded, count_if(o = 'review') AS review, count_if(o = 'error') AS error, count_if(o = 'clear') AS clear FROM (SELECT id, json_extract_string(result, '$.outcome') AS o FROM r) WHERE o <> 'info' GROUP BY 1),
     verdicts AS (SELECT w.id AS job_id, CASE WHEN w.status <> 'completed' THEN 'pending' WHEN coalesce(g.graded, 0) = 0 THEN 'inconclusive' WHEN g.review > 0 THEN 'review' WHEN g.error > 0 THEN 'error' WHEN g.clear = g.graded THEN 'clear' ELSE 'inconclusive' END AS verdict,
       CAST(round_even(100.0 * g.clear / nullif(g.graded, 0), 0) AS INTEGER) AS authenticity FROM w LEFT JOIN g USING (id))
@@ -129,11 +129,11 @@ SQL = {
         SELECT file_type, screened, CAST(round_even(100.0 * (screened - flagged) / screened, 0) AS INTEGER) AS clean_percent, flagged, round(s, 3) AS average_seconds, round(screened / sum(screened) OVER (), 6) AS share FROM n""",
     "volume_buckets": f"WITH j AS ({_JOBS}) SELECT CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at)) / 2592000000000) AS INTEGER) AS bucket, count(*) AS n FROM j WHERE created_at <= TIMESTAMP '{NOW}' GROUP BY 1 HAVING bucket BETWEEN 0 AND 9",
     "turnaround": f"WITH j AS ({_JOBS}), m AS (SELECT batch_id, coalesce(avg({_S.format('started')}), 0) AS mean FROM j WHERE batch_id IS NOT NULL GROUP BY 1) SELECT count(*) AS jobs, round(avg(mean), 4) AS average FROM m",
-    "flag_reasons_top5": _RESULTS + "SELECT analyzer_id, count(*) AS flags FROM r WHERE json_extract_string(result, '$.outcome') = 'review' GROUP BY 1 ORDER BY flags DESC, analyzer_id LIMIT 5",
-    "machine_verdicts": _VERDICTS + "SELECT * FROM verdicts",
-    "verdict_histogram": _VERDICTS + "SELECT verdict, count(*) AS jobs, round(avg(authenticity), 4) AS authenticity FROM verdicts GROUP BY 1",
+    "flag_reasons_top5": RESULTS + "SELECT analyzer_id, count(*) AS flags FROM r WHERE json_extract_string(result, '$.outcome') = 'review' GROUP BY 1 ORDER BY flags DESC, analyzer_id LIMIT 5",
+    "machine_verdicts": VERDICTS + "SELECT * FROM verdicts",
+    "verdict_histogram": VERDICTS + "SELECT verdict, count(*) AS jobs, round(avg(authenticity), 4) AS authenticity FROM verdicts GROUP BY 1",
     "flag_agreement": f"""
-        WITH j AS ({_JOBS}), r AS ({_LATEST}), b AS (SELECT coalesce(j.flagged = 1, false) AS p, coalesce(r.decision IN ('needs_investigation', 'escalated'), false) AS a FROM j JOIN r ON r.job_id = j.id),
+        WITH j AS ({_JOBS}), r AS ({LATEST}), b AS (SELECT coalesce(j.flagged = 1, false) AS p, coalesce(r.decision IN ('needs_investigation', 'escalated'), false) AS a FROM j JOIN r ON r.job_id = j.id),
         c AS (SELECT count_if(p AND a) AS tp, count_if(p AND NOT a) AS fp, count_if(NOT p AND a) AS fn, count_if(NOT p AND NOT a) AS tn FROM b)
         SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c""",
     "decisions_by_reviewer": "SELECT reviewer, count_if(decision = 'verified') AS verified, count_if(decision = 'needs_investigation') AS needs_investigation, count_if(decision = 'escalated') AS escalated, count_if(decision = 'inconclusive') AS inconclusive, max(reviewed_at) AS last_reviewed_at FROM reviews GROUP BY 1",

@@ -40,7 +40,7 @@ def batch_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names of jobs against what their payloads say."""
     j = table(spark, sf_dir, "jobs").dropDuplicates(["id"])
-    said = j.select("id", F.get_json_object("payload_json", "$.filename").alias("filename")).where("filename is not null")
+    said = j.select("id", F.try_variant_get(F.try_parse_json("payload_json"), "$.filename", "string").alias("filename")).where("filename is not null")
     return sinks.manifest_difference(j.select("id", "filename"), said)
 
 
@@ -66,7 +66,7 @@ SQL = {
     "batch_report_rows": VERDICTS + f""", l AS ({LATEST}), j AS (SELECT DISTINCT id, status, batch_position FROM jobs WHERE batch_id IS NOT NULL)
         SELECT j.id, j.status, j.batch_position, v.verdict, v.authenticity, l.decision, l.reviewer FROM j LEFT JOIN verdicts v ON v.job_id = j.id LEFT JOIN l ON l.job_id = j.id""",
     "manifest_difference": """
-        WITH j AS (SELECT DISTINCT id, filename, payload_json FROM jobs), d AS (SELECT id, json_extract_string(payload_json, '$.filename') AS filename FROM j WHERE json_valid(payload_json) AND json_type(payload_json) = 'OBJECT'), s AS (SELECT * FROM d WHERE filename IS NOT NULL)
+        WITH j AS (SELECT DISTINCT id, filename, payload_json FROM jobs), d AS (SELECT id, CASE WHEN json_valid(payload_json) THEN json_extract_string(payload_json, '$.filename') END AS filename FROM j), s AS (SELECT * FROM d WHERE filename IS NOT NULL)
         SELECT id, filename, 'missing' AS side FROM (SELECT id, filename FROM j EXCEPT ALL SELECT id, filename FROM s) UNION ALL SELECT id, filename, 'unexpected' FROM (SELECT id, filename FROM s EXCEPT ALL SELECT id, filename FROM j)""",
     "storage_places": "SELECT left(sha256(id), 2) AS place, count(*) AS jobs FROM (SELECT DISTINCT id FROM jobs) GROUP BY 1",
     "face_groups": """

@@ -50,7 +50,7 @@ def boundary_classes(raw: bytes, ends: np.ndarray) -> str:
     plain = np.maximum.accumulate(np.where(_CLOSERS[buf], -1, at))
     mark = plain[ends - 1]
     stop = (mark >= 0) & _ENDS[buf[np.maximum(mark, 0)]]
-    for wide in _WIDE_ENDS:
+    for wide in _WIDE_ENDS if not raw.isascii() else ():
         w = np.frombuffer(wide.encode(), np.uint8)
         hit = mark >= len(w) - 1
         for k, b in enumerate(w):
@@ -133,18 +133,18 @@ def split(documents: DataFrame, keep: list[str], text: str = "text", vocabulary:
     outside ``keep`` are ignored.
     """
     marked = _marked(documents, keep, text, vocabulary, limit)
-    cut = marked.select(*keep, "__text", "ends", spans(F.col("n_tokens"), F.col("blocks"), limit, overlap).alias("pieces"))
+    # Positions in characters are looked up here, so that the ends of all tokens need not travel again.
+    char = lambda token: F.when(token == 0, 0).otherwise(F.get("ends", token - 1))
+    placed = F.transform("pieces", lambda p: F.struct(p["start"], p["stop"], char(p["start"]).alias("a"), char(p["stop"]).alias("b")))
+    cut = marked.withColumn("pieces", spans(F.col("n_tokens"), F.col("blocks"), limit, overlap)).select(*keep, "__text", placed.alias("pieces"))
     schema = {f.name: f.dataType.simpleString() for f in documents.schema}
     columns = ", ".join([*(f"`{c}` {schema[c]}" for c in keep), "piece int", "start_char int", "end_char int", "n_tokens int", "overlap_tokens int", "text string"])
 
     def carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, pieces = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 2)
-            ends = batch.column(len(keep) + 1)
+            texts, pieces = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1)
             for row in range(batch.num_rows):
-                chars = np.concatenate([[0], ends[row].values.to_numpy()])
-                start, stop = (pieces[row].values.field(i).to_numpy() for i in (0, 1))
-                a, b = chars[start], chars[stop]
+                start, stop, a, b = (pieces[row].values.field(i).to_numpy() for i in range(4))
                 shared = np.concatenate([[0], np.maximum(stop[:-1] - start[1:], 0)])
                 own = [pa.repeat(batch.column(i)[row], len(start)) for i in range(len(keep))]
                 cut = [texts[row][i:j] for i, j in zip(a.tolist(), b.tolist())]

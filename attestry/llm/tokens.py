@@ -14,7 +14,10 @@ one by one: a contraction can only make pairs of higher rank.
 from __future__ import annotations
 
 import base64
+import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import duckdb
 import numpy as np
@@ -29,9 +32,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the word pattern of the byte_bpe vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same over ASCII texts, for the standard library's faster engine.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+
 #: Characters encoded by one run of the recursive query, about, and words remembered between runs of one worker.
-RUN_CHARS = 8_000_000
-WORDS_KEPT = 400_000
+RUN_CHARS = 2_000_000
+WORDS_KEPT = 250_000
 
 _CONTRACT = """
 with recursive step(w, pos, tok, round) as (
@@ -91,7 +97,12 @@ class Encoder:
         self.db.register("given", table)
         self.db.execute("create table merges as select * from given").fetchall()
         self.db.unregister("given")
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words by number, in the order met; their ids lie end to end in ``flat``."""
+        self.known: dict[str, int] = defaultdict(count().__next__)
+        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -113,18 +124,29 @@ class Encoder:
         flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
         return [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has."""
+        if len(self.known) > WORDS_KEPT:
+            self._forget()
+        split = [(_ASCII if t.isascii() else self.pattern).findall(t) for t in texts]
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)  # unmet words get the next number
+        fresh = list(islice(self.known, len(self.size), None))
+        if fresh:
+            new = self.words(fresh)
+            self.flat = np.concatenate([self.flat, *new])
+            self.size = np.concatenate([self.size, [len(n) for n in new]])
+        start = np.cumsum(self.size) - self.size
+        n = self.size[numbers]
+        done = np.cumsum(n)
+        at = np.arange(n.sum()) - np.repeat(done - n, n) + np.repeat(start[numbers], n)
+        words = np.cumsum([0, *map(len, split)])
+        total = np.concatenate([[0], done])[words]
+        return self.flat[at].astype(np.int32), np.diff(total)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [self.pattern.findall(t) for t in texts]
-        known = self.known
-        fresh = list({w: None for s in split for w in s if w not in known})
-        if len(known) + len(fresh) > WORDS_KEPT:
-            known.clear()
-            fresh = list({w: None for s in split for w in s})
-        if fresh:
-            known.update(zip(fresh, self.words(fresh)))
-        none = np.zeros(0, np.int32)
-        return [np.concatenate([known[w] for w in s]) if s else none for s in split]
+        ids, n = self.encode_flat(texts)
+        return np.split(ids, np.cumsum(n)[:-1]) if len(texts) else []
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -167,9 +189,8 @@ def encoded(documents: DataFrame, keep: list[str], text: str = "text", vocabular
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
         for batch, texts in in_runs(batches, len(keep)):
-            ids = encoder.encode(texts)
-            ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            flat, n = encoder.encode_flat(texts)
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
             given = [batch.column(i) for i in range(len(keep))] + ([pa.array(texts, pa.string())] if with_text else [])
             yield pa.RecordBatch.from_arrays([*given, lists], [*keep, *(["text"] if with_text else []), "ids"])

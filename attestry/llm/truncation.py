@@ -97,37 +97,49 @@ def _label_kinds(d: DataFrame) -> DataFrame:
     return whole.select("label", "total", kind.alias("kind"), F.col("mode.n").alias("fixed"))
 
 
-def _recurring(rows: DataFrame, kinds: DataFrame, key: str, share: float, name: str) -> DataFrame:
-    often = rows.groupBy("label", key).agg(F.count("*").alias("c"), F.approx_count_distinct("job_id").alias("jobs"), F.min("source").alias("a"), F.max("source").alias("b")).where((F.col("jobs") >= RECURS) & (F.col("a") != F.col("b")))
-    return often.join(kinds, "label").where(F.col("c") >= share * F.col("total")).select("label", key, F.lit(True).alias(name))
+def _recurring(rows: DataFrame, key: Column, share: float, name: str) -> DataFrame:
+    """(label, key): keys of ``rows`` that enough values share; at most 1/share for each label."""
+    often = rows.groupBy("label", "total", key.alias(name)).agg(F.count("*").alias("c"), F.min("job_id").alias("j"), F.max("job_id").alias("k"), F.min("source").alias("a"), F.max("source").alias("b"))
+    enough = (F.col("c") >= RECURS) & (F.col("c") >= share * F.col("total")) & (F.col("j") != F.col("k")) & (F.col("a") != F.col("b"))
+    return written(often.where(enough).select("label", name, F.lit(True).alias(f"known_{name}")), name)
 
 
 def inspected(facts: DataFrame) -> DataFrame:
-    """Each fact with a value: fact_id, source, label, value, kind, whether its ending is open, and ``closed_list``."""
+    """Facts whose ending is open, and lists with a whole last item: fact_id, source, label, value, open, phrase.
+
+    What whole values look like is gathered in tables that are small by their
+    thresholds and written first, so that their size is known and the facts
+    need no shuffle to meet them.
+    """
     d = _described(facts)
-    kinds = _label_kinds(d)
-    d = d.join(kinds, "label")
-    phrases = _recurring(d.where(F.char_length("value") <= 80).select("label", "value", "job_id", "source"), kinds, "value", SHARE, "phrase")
-    endings = _recurring(d.where("kind = 'words'").select("label", "ending", "job_id", "source"), kinds, "ending", ENDING_SHARE, "known_ending")
+    d = d.join(written(_label_kinds(d), "kinds"), "label")
+    value, last, shape = F.xxhash64("value"), F.xxhash64("last_item"), _shape(F.col("last_item"))
+    brief = F.char_length("value") <= 80
+    phrases = _recurring(d.where(brief), value, SHARE, "phrase")
+    endings = _recurring(d.where("kind = 'words'"), F.col("ending"), ENDING_SHARE, "ending")
     # Items before the last are whole whatever happened to the value.
-    inner = d.where("kind = 'list'").select("label", "job_id", F.explode(F.slice("items", F.lit(1), F.size("items") - 1)).alias("last_item"))
-    known = inner.groupBy("label", "last_item").agg(F.count("*").alias("c"))
-    named = known.where(F.col("c") >= RECURS).select("label", "last_item", F.lit(True).alias("known_item"))
-    coverage = known.groupBy("label").agg((F.sum(F.when(F.col("c") >= RECURS, F.col("c"))) >= 0.9 * F.sum("c")).alias("by_name"))
-    shapes = known.groupBy("label", _shape(F.col("last_item")).alias("shape")).agg(F.sum("c").alias("c"))
-    shapes = shapes.withColumn("all", F.sum("c").over(Window.partitionBy("label"))).where(F.col("c") >= ENDING_SHARE * F.col("all")).select("label", "shape", F.lit(True).alias("known_shape"))
+    inner = d.where("kind = 'list'").select("label", F.explode(F.slice("items", F.lit(1), F.size("items") - 1)).alias("last_item"))
+    known = written(inner.groupBy("label", shape.alias("shape"), last.alias("item")).agg(F.count("*").alias("c")), "known")
+    named = known.where(F.col("c") >= RECURS).select("label", "item", F.lit(True).alias("known_item")).distinct()
+    coverage = known.groupBy("label").agg((F.sum(F.when(F.col("c") >= RECURS, F.col("c")).otherwise(0)) >= 0.9 * F.sum("c")).alias("by_name"))
+    # Only labels whose items recur are looked up by name.
+    named = written(named.join(coverage.where("by_name").select("label"), "label", "left_semi"), "named")
+    shapes = known.groupBy("label", "shape").agg(F.sum("c").alias("c")).withColumn("all", F.sum("c").over(Window.partitionBy("label")))
+    shapes = written(shapes.where(F.col("c") >= ENDING_SHARE * F.col("all")).select("label", "shape", F.lit(True).alias("known_shape")), "shapes")
     joined = (
-        d.withColumn("shape", F.when(F.col("kind") == "list", _shape(F.col("last_item"))))
-        .join(phrases, ["label", "value"], "left")
+        d.withColumn("shape", F.when(F.col("kind") == "list", shape))
+        .withColumn("phrase", F.when(brief, value))
+        .withColumn("item", F.when(F.col("kind") == "list", last))
+        .join(phrases, ["label", "phrase"], "left")
         .join(endings, ["label", "ending"], "left")
-        .join(named, ["label", "last_item"], "left")
+        .join(named, ["label", "item"], "left")
         .join(shapes, ["label", "shape"], "left")
-        .join(coverage, "label", "left")
+        .join(written(coverage, "coverage"), "label", "left")
     )
     json_like = F.rlike("v", F.lit(r"^\s*[\[{]"))
     item = F.when(F.coalesce("by_name", F.lit(False)), F.col("known_item")).otherwise(F.col("known_shape"))
     complete = (
-        F.when(F.coalesce("phrase", F.lit(False)), True)
+        F.when(F.coalesce("known_phrase", F.lit(False)), True)
         .when(json_like & F.try_parse_json("v").isNotNull(), True)
         .when(json_like, False)
         .when(F.col("marked") | F.col("trailing"), False)
@@ -136,7 +148,8 @@ def inspected(facts: DataFrame) -> DataFrame:
         .when(F.col("kind") == "list", F.coalesce(item, F.lit(False)))
         .otherwise(F.coalesce("known_ending", F.lit(False)))
     )
-    return joined.select("fact_id", "source", "label", "value", "kind", (~complete).alias("open"), (F.col("kind") == "list").alias("closed_list"), F.coalesce("phrase", F.lit(False)).alias("phrase"))
+    whole_list = (F.col("kind") == "list") & F.col("known_phrase").isNull()
+    return joined.withColumn("open", ~complete).where(F.col("open") | whole_list).select("fact_id", "source", "label", "value", "open")
 
 
 def limits(rows: DataFrame) -> DataFrame:
@@ -167,11 +180,11 @@ def truncated(facts: DataFrame) -> DataFrame:
     like any other; an empty table gives no rows.
     """
     rows = _sized(written(inspected(facts), "endings"))
-    near = rows.where("closed_list and not open and not phrase and room between 0 and 10").groupBy("source", "label").agg(F.count_if(F.expr("room = 0")).alias("at"), (F.count_if(F.expr("room > 0")) / 10).alias("below"))
+    near = rows.where("not open and room between 0 and 10").groupBy("source", "label").agg(F.count_if(F.expr("room = 0")).alias("at"), (F.count_if(F.expr("room > 0")) / 10).alias("below"))
     crowded = near.where((F.col("at") >= RECURS) & (F.col("at") > EXCESS * (F.col("below") + 0.5))).select("source", "label", F.lit(True).alias("crowded"))
     marked = rows.join(crowded, ["source", "label"], "left")
     at_limit = F.coalesce(F.col("room").between(0, 3), F.lit(False))
-    chance = F.col("closed_list") & ~F.col("phrase") & (F.col("room") == 0) & F.coalesce("crowded", F.lit(False))
+    chance = ~F.col("open") & (F.col("room") == 0) & F.coalesce("crowded", F.lit(False))
     return marked.where(F.col("open") | F.coalesce(chance, F.lit(False))).select("fact_id", "source", "label", "measure", "limit", at_limit.alias("by_limit"))
 
 

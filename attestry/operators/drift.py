@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.structural import valid_json
-from attestry.session import written
+from attestry.session import spread, written
 
 #: Bits of the JSON types; null has none.
 TYPE_BITS = {"string": 1, "number": 2, "boolean": 4, "array": 8, "object": 16}
@@ -80,7 +80,7 @@ def flat_fields(records: DataFrame) -> DataFrame:
 
     types = {f.name: f.dataType.simpleString() for f in records.schema}
     schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", fields array<struct<path string, parent string, type int, value string>>"
-    parsed = records.select(*columns, "record_json").mapInArrow(parse, schema)
+    parsed = spread(records.select(*columns, "record_json")).mapInArrow(parse, schema)
     return parsed.select(*columns, F.explode("fields").alias("f")).select(*columns, "f.*")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.structural import Index, valid_json
+from attestry.session import spread
 
 #: Texts are indexed together up to about this many characters.
 BATCH_CHARS = 4_000_000
@@ -175,6 +176,6 @@ def children(jobs: DataFrame, key: str = "id", payload: str = "payload_json", bo
     other columns are ignored. With ``body`` each row has its record's JSON.
     """
     read = jobs.select(F.col(key).alias("job_id"), F.xxhash64(payload).alias("digest"), F.col(payload).alias("payload"))
-    rows = read.mapInArrow(lambda it: _batches(it, body), ROWS)
+    rows = spread(read).mapInArrow(lambda it: _batches(it, body), ROWS)
     once = rows.dropDuplicates(["job_id", "digest", "seq"])
     return once.select("job_id", "analyzer_id", "child", "ord", "sub_ord", *(["body"] if body else []))

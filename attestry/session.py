@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,11 +28,37 @@ def build(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> S
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application, so that they need no copy of their own."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):  # else it came as an archive itself
+        folder = tempfile.mkdtemp(prefix="attestry-")
+        archive = shutil.make_archive(os.path.join(folder, f"attestry-{uuid.uuid4().hex}"), "zip", os.path.dirname(package), os.path.basename(package))
+        spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables in ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for a costly step per row, if its input has fewer partitions than there are cores.
+
+    Large inputs have more, and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as named by ``spark.checkpoint.dir``.
 

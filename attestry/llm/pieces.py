@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.tokens import VOCABULARY, Encoder, in_runs, load_ranks
+from attestry.session import spread
 
 LIMIT, OVERLAP = 512, 64
 
@@ -90,7 +91,7 @@ def _marked(documents: DataFrame, keep: list[str], text: str, vocabulary: str, l
                 [*keep, "__text", "n_tokens", "blocks", "ends"],
             )
 
-    return documents.select(*keep, F.col(text).alias("__text")).mapInArrow(run, columns)
+    return spread(documents.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, columns)
 
 
 def spans(n: Column, blocks: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.session import spread
+
 #: name_parts beyond this size are used through the endings learned from them only.
 MOST_NAMES = 100_000
 
@@ -369,7 +371,7 @@ def located(texts: DataFrame, name_parts: DataFrame, redacted: bool = False) ->
                 ["origin", "record_id", "kind", "start_pos", "end_pos", "placeholder"],
             )
 
-    given = texts.select("origin", "record_id", "text", "code")
+    given = spread(texts.select("origin", "record_id", "text", "code"))
     if redacted:
         return given.mapInArrow(run, f"{ids}, text string").distinct()
     return given.mapInArrow(run, f"{ids}, kind string, start_pos bigint, end_pos bigint, placeholder string").distinct()

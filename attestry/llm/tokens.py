@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.session import spread
+
 #: Where the vocabulary lies; pass another path to any function here to use another.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -195,4 +197,4 @@ def encoded(documents: DataFrame, keep: list[str], text: str = "text", vocabular
             given = [batch.column(i) for i in range(len(keep))] + ([pa.array(texts, pa.string())] if with_text else [])
             yield pa.RecordBatch.from_arrays([*given, lists], [*keep, *(["text"] if with_text else []), "ids"])
 
-    return documents.select(*keep, F.col(text).alias("__text")).mapInArrow(run, columns)
+    return spread(documents.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, columns)

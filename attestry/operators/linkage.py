@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.session import dropped, written_at
@@ -40,21 +42,38 @@ def payload_holders(hits: DataFrame, jobs: DataFrame) -> DataFrame:
     return best.select("batch_id", "job_id", "hit.hit_id", "hit.first_id")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+#: Rows of a group that are compared with as many others in one task.
+BLOCK_ROWS = 2000
 
 
 def nearest_earlier(vectors: DataFrame, group: str, order: str, vector: str, least: float = FACE_MATCH) -> DataFrame:
     """Of each row the most similar strictly earlier row of its group, the first seen of equals: (order, best, score).
 
-    The group keeps the comparison a hash join with a residual; pairs exist
-    within groups only, which the caller bounds (a batch of documents).
+    A group is dealt into blocks of bounded size, so that a hot one takes many
+    tasks; each pair of blocks is one matrix product. Rows with a null vector,
+    group or order have no match and are none; all vectors have one length.
     """
-    a = vectors.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(vector).alias("v"))
-    b = vectors.select(F.col(group).alias("g"), F.col(order).alias("best"), F.col(vector).alias("w"))
-    scored = a.join(b, "g").where("best < o").select("g", "o", "best", cosine(F.col("v"), F.col("w")).alias("score"))
-    top = scored.where(F.col("score") >= least).groupBy("o").agg(F.max(F.struct("score", (-F.col("best")).alias("b"))).alias("m"))
+    rows = vectors.select(F.col(group).alias("g"), F.col(order).cast("bigint").alias("o"), F.col(vector).cast("array<double>").alias("v")).dropna()
+    blocks = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("o"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select(F.col("g").alias("g1"), F.col("own").alias("x"), others.alias("y"), F.col("o").alias("o1"), F.col("v").alias("v1"))
+    right = dealt.select(F.col("g").alias("h"), others.alias("p"), F.col("own").alias("q"), F.col("o").alias("best"), F.col("v").alias("w"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"o": [], "best": [], "score": []})
+        if a.empty or b.empty:
+            return none
+        b = b.sort_values("best")
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        score = np.round(unit(np.stack(a["v1"].to_numpy())) @ unit(np.stack(b["w"].to_numpy())).T, 12)
+        score = np.where(b["best"].to_numpy()[None, :] < a["o1"].to_numpy()[:, None], score, -2)
+        at = score.argmax(1)  # the first of equals
+        top = score[np.arange(len(a)), at]
+        return pd.DataFrame({"o": a["o1"].to_numpy(), "best": b["best"].to_numpy()[at], "score": top})[top >= least]
+
+    pairs = left.groupBy("g1", "x", "y").cogroup(right.groupBy("h", "p", "q")).applyInPandas(best, "o bigint, best bigint, score double")
+    top = pairs.groupBy("o").agg(F.max(F.struct("score", (-F.col("best")).alias("b"))).alias("m"))
     return top.select(F.col("o").alias(order), (-F.col("m.b")).alias("best"), F.col("m.score").alias("score"))
 
 

@@ -216,3 +216,21 @@ def test_robust_outliers(spark):
     p = spark.createDataFrame([("g", 0.5), ("g", 0.5), ("g", 0.1)], "g string, p double")
     got = pages.decayed_noisy_or(p, "g", "p").first().score
     assert math.isclose(got, 1 - 0.5 * (1 - 0.35), rel_tol=1e-9)
+
+
+def test_nearest_earlier_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BLOCK_ROWS", 7)
+    r = random.Random(6)
+    rows = [(r.choice("ab"), i, [r.choice([0.0, 1.0, 0.5]) for _ in range(4)]) for i in range(60)] + [(None, 60, [1.0] * 4), ("a", 61, None)]
+
+    def cos(v, w):
+        n = math.sqrt(sum(x * x for x in v)) * math.sqrt(sum(x * x for x in w))
+        return round(sum(x * y for x, y in zip(v, w)) / n, 9) if n else 0.0
+
+    expected = set()
+    for g, i, v in rows[:60]:
+        scored = [(cos(v, w), -j) for h, j, w in rows[:60] if h == g and j < i]
+        if scored and max(scored)[0] >= 0.35:
+            expected.add((i, -max(scored)[1]))
+    found = linkage.nearest_earlier(spark.createDataFrame(rows, "g string, i int, v array<float>"), "g", "i", "v")
+    assert {(x.i, x.best) for x in found.collect()} == expected

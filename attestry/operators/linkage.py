@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.operators import ordered
 from attestry.session import dropped, written_at
 
 #: Matches of faces from here, near misses from there; order of evidence in a listing.
@@ -15,11 +16,15 @@ EVIDENCE_RANK = {"Identical file": 0, "Same QR payload": 1, "Same face": 2, "Fac
 
 
 def prior_screenings(jobs: DataFrame) -> DataFrame:
-    """Every other job with the same digest, the newest first: (id, other_id, rank)."""
-    a = jobs.where("sha256 is not null").select("id", "sha256")
-    b = jobs.where("sha256 is not null").select(F.col("id").alias("other_id"), "sha256", "created_at")
-    order = Window.partitionBy("id").orderBy(F.desc("created_at"), F.desc("other_id"))
-    return a.join(b, "sha256").where("id <> other_id").select("id", "other_id", F.row_number().over(order).alias("rank"))
+    """Of each job whose digest others have: how many others, and the newest of them: (id, others, newest_id).
+
+    One row a job, not one a pair: a digest may be that of a third of all jobs.
+    """
+    held = jobs.where("sha256 is not null").select("id", "sha256", F.struct("created_at", "id").alias("at"))
+    groups = held.groupBy("sha256").agg(F.count("*").alias("n"), F.max("at").alias("top")).where("n > 1")
+    joined = held.join(groups, "sha256")
+    second = joined.where(F.col("id") != F.col("top.id")).groupBy("sha256").agg(F.max("at").alias("second"))
+    return joined.join(second, "sha256").select("id", (F.col("n") - 1).alias("others"), F.when(F.col("id") == F.col("top.id"), F.col("second.id")).otherwise(F.col("top.id")).alias("newest_id"))
 
 
 def identical_files(jobs: DataFrame) -> DataFrame:
@@ -100,8 +105,8 @@ def named_clusters(edges: DataFrame, a: str, b: str, order: str) -> DataFrame:
     members = clusters(edges, a, b)
     seen = edges.select(F.col(a).alias("id"), order).union(edges.select(F.col(b), order)).groupBy("id").agg(F.min(order).alias("at"))
     first = members.join(seen, "id").groupBy("label").agg(F.min("at").alias("at"))
-    numbered = first.select("label", F.concat(F.lit("C"), F.dense_rank().over(Window.orderBy("at", "label"))).alias("cluster"))
-    return members.join(numbered, "label").select("id", "cluster")
+    numbered = ordered.numbered(first.withColumn("one", F.lit(1)), "one", ["at", "label"])
+    return members.join(numbered.select("label", F.concat(F.lit("C"), "n").alias("cluster")), "label").select("id", "cluster")
 
 
 def pair_listing(pairs: DataFrame, named: DataFrame) -> DataFrame:
@@ -109,5 +114,6 @@ def pair_listing(pairs: DataFrame, named: DataFrame) -> DataFrame:
     rank = F.coalesce(F.create_map(*(F.lit(x) for kv in EVIDENCE_RANK.items() for x in kv))[F.col("pair_type")], F.lit(9))
     number = F.try_to_number(F.substring("cluster", 2, 20), F.lit("99999999999999999999")).cast("bigint")
     joined = pairs.join(named.withColumnRenamed("id", "job_id"), "job_id", "left").withColumn("evidence_rank", rank).withColumn("number", number)
-    order = Window.orderBy(F.col("number").asc_nulls_last(), "evidence_rank", F.col("score").desc_nulls_last(), "pair_id")
-    return joined.select("pair_id", "cluster", "evidence_rank", F.row_number().over(order).alias("position"))
+    placed = joined.withColumn("one", F.lit(1)).withColumn("late", F.col("number").isNull()).withColumn("low", -F.coalesce("score", F.lit(float("-inf"))))
+    out = ordered.numbered(placed, "one", ["late", "number", "evidence_rank", "low", "pair_id"], "position")
+    return out.select("pair_id", "cluster", "evidence_rank", "position")

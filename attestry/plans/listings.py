@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.operators import linkage, store
+from attestry.operators import linkage, ordered, store
 from attestry.session import table
 
 CURSOR = ("2025-12-01T00:00:00", "8")
@@ -68,9 +68,8 @@ def pair_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbours_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("batch_id").orderBy("batch_position", "id")
-    j = store.jobs(spark, sf_dir).where("batch_id is not null")
-    return j.select("id", F.lag("id").over(w).alias("previous_id"), F.lead("id").over(w).alias("next_id"), (F.row_number().over(w) - 1).alias("position"))
+    j = store.jobs(spark, sf_dir).where("batch_id is not null").select("id", "batch_id", "batch_position")
+    return ordered.neighbours(j, "batch_id", ["batch_position", "id"], "id").select("id", "previous_id", "next_id", "position")
 
 
 def latest_review(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +129,7 @@ SQL = {
     "batch_page_keyset": f"SELECT id, created_at FROM batches WHERE created_at < TIMESTAMP '{CURSOR[0]}' OR (created_at = TIMESTAMP '{CURSOR[0]}' AND id < '{CURSOR[1]}') ORDER BY created_at DESC, id DESC LIMIT 21",
     "project_rollup": "SELECT p.id, p.name, count(b.id) AS batch_count, max(b.created_at) AS last_batch_at FROM projects p LEFT JOIN batches b ON b.project_id = p.id GROUP BY p.id, p.name",
     "visible_totals": "SELECT o.owner_user_id, count(*) AS visible FROM (SELECT DISTINCT owner_user_id FROM batches WHERE owner_user_id IS NOT NULL) o JOIN batches b ON b.owner_user_id = o.owner_user_id OR b.owner_user_id IS NULL GROUP BY 1",
-    "prior_screenings": f"WITH j AS ({_JOBS}) SELECT a.id, b.id AS other_id, CAST(row_number() OVER (PARTITION BY a.id ORDER BY b.created_at DESC, b.id DESC) AS INTEGER) AS rank FROM j a JOIN j b ON a.sha256 = b.sha256 AND a.id <> b.id",
+    "prior_screenings": f"WITH j AS ({_JOBS}) SELECT a.id, count(*) AS others, arg_max(b.id, (b.created_at, b.id)) AS newest_id FROM j a JOIN j b ON a.sha256 = b.sha256 AND a.id <> b.id GROUP BY 1",
     "identical_files": f"WITH j AS ({_JOBS}), h AS (SELECT batch_id, id, first_value(id) OVER (PARTITION BY batch_id, sha256 ORDER BY batch_position, id) AS first_id FROM j WHERE sha256 IS NOT NULL AND batch_id IS NOT NULL) SELECT * FROM h WHERE id <> first_id",
     "payload_first_holder": f"""
         WITH j AS ({_JOBS}), h AS (SELECT DISTINCT hit_id, job_id, payload FROM qr_hits WHERE payload IS NOT NULL AND trim(payload, ' ') <> ''),
@@ -143,9 +142,9 @@ SQL = {
     "duplicate_clusters": _CLUSTERS + "SELECT id, cluster FROM clustered",
     "pair_listing": _CLUSTERS
     + """SELECT p.pair_id, c.cluster, CASE p.pair_type WHEN 'Identical file' THEN 0 WHEN 'Same QR payload' THEN 1 WHEN 'Same face' THEN 2 WHEN 'Face near miss' THEN 3 ELSE 9 END AS evidence_rank,
-        CAST(row_number() OVER (ORDER BY CAST(substr(c.cluster, 2) AS BIGINT) ASC NULLS LAST, evidence_rank, p.score DESC NULLS LAST, p.pair_id) AS INTEGER) AS position
+        row_number() OVER (ORDER BY CAST(substr(c.cluster, 2) AS BIGINT) ASC NULLS LAST, evidence_rank, p.score DESC NULLS LAST, p.pair_id) AS position
         FROM pairs p LEFT JOIN clustered c ON c.id = p.job_id WHERE p.pair_type IN ('Same QR payload', 'Identical file')""",
-    "neighbours_in_batch": f"WITH j AS ({_JOBS}) SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id, CAST(row_number() OVER w - 1 AS INTEGER) AS position FROM j WHERE batch_id IS NOT NULL WINDOW w AS (PARTITION BY batch_id ORDER BY batch_position, id)",
+    "neighbours_in_batch": f"WITH j AS ({_JOBS}) SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id, row_number() OVER w - 1 AS position FROM j WHERE batch_id IS NOT NULL WINDOW w AS (PARTITION BY batch_id ORDER BY batch_position, id)",
     "latest_review": f"SELECT job_id, review_id, decision FROM ({_LATEST})",
     "history_search": f"WITH j AS ({_JOBS}), r AS ({_LATEST}) SELECT j.id, j.filename, r.decision FROM j JOIN r ON r.job_id = j.id WHERE j.created_at >= TIMESTAMP '2025-06-01' AND j.created_at < TIMESTAMP '2026-01-01' AND contains(lower(concat_ws(' ', j.filename, r.decision, r.reviewer)), 'scan')",
     "default_batch_names": f"WITH j AS ({_JOBS}), s AS (SELECT batch_id, arg_min(regexp_replace(filename, '\\.[^.]*$', ''), (batch_position, id)) AS stem, count(*) AS n FROM j WHERE batch_id IS NOT NULL GROUP BY 1) SELECT batch_id, CASE WHEN n = 1 THEN left(stem, 80) ELSE left(stem, 60) || ' +' || (n - 1) || ' more' END AS name FROM s",

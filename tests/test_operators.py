@@ -234,3 +234,23 @@ def test_nearest_earlier_over_blocks(spark, monkeypatch):
             expected.add((i, -max(scored)[1]))
     found = linkage.nearest_earlier(spark.createDataFrame(rows, "g string, i int, v array<float>"), "g", "i", "v")
     assert {(x.i, x.best) for x in found.collect()} == expected
+
+
+def test_ordered_operators_with_a_hot_key(spark):
+    from attestry.operators import ordered
+
+    r = random.Random(8)
+    rows = [(r.choice(["hot"] * 5 + ["a", "b", None]), i, r.randint(0, 99)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(5)
+    by = {}
+    for k, i, v in rows:
+        by.setdefault(k, []).append((i, v))
+    numbered = {(x.k, x.i): x.n for x in ordered.numbered(df, "k", ["i"]).collect()}
+    around = {(x.k, x.i): (x.previous_v, x.next_v, x.position) for x in ordered.neighbours(df, "k", ["i"], "v").collect()}
+    highs = {(x.k, x.i): x.high for x in ordered.highest_before(df, "k", ["i"], "v").collect()}
+    for k, own in by.items():
+        for n, (i, v) in enumerate(own):
+            assert numbered[k, i] == n + 1
+            assert around[k, i] == (own[n - 1][1] if n else None, own[n + 1][1] if n + 1 < len(own) else None, n)
+            assert highs[k, i] == (max(x for _, x in own[:n]) if n else None)
+    assert ordered.numbered(df.limit(0), "k", ["i"]).collect() == []

@@ -6,7 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def _iou(a: np.ndarray, b: np.ndarray) -> float:
@@ -94,7 +95,18 @@ def text_lines(pdf: pd.DataFrame, share: float = 0.6) -> pd.DataFrame:
     return rows.drop(columns="_c").assign(line=line)
 
 
-def by_group(rows: DataFrame, keys: list[str], merge, added: str = "") -> DataFrame:
-    """One of the merges above over each group of ``keys``; ``added`` names its new columns with their types."""
+def by_group(rows: DataFrame, keys: list[str], merge, added: str = "", alone: Column | None = None) -> DataFrame:
+    """One of the merges above over each group of ``keys``.
+
+    ``added`` names its new column with its type, ``alone`` is that column's
+    value where a row is alone in its group: such rows, mostly the most, never
+    leave the JVM.
+    """
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *([added] if added else [])])
-    return rows.groupBy(*keys).applyInPandas(lambda pdf: merge(pdf), schema)
+    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    merged = counted.where("_n > 1").drop("_n").groupBy(*keys).applyInPandas(lambda pdf: merge(pdf), schema)
+    single = counted.where("_n = 1").drop("_n")
+    if added:
+        name, kind = added.split()
+        single = single.withColumn(name, alone.cast(kind))
+    return single.unionByName(merged)

@@ -40,12 +40,12 @@ def overlapping_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of a page merged where they overlap, the largest taken as the surest."""
     b = hit_boxes(spark, sf_dir).withColumn("confidence", F.round(F.col("width") * F.col("height"), 6)).withColumn("ord", F.col("hit_id"))
-    return greedy.by_group(b, ["job_id", "page"], greedy.merge_boxes, "merged bigint")
+    return greedy.by_group(b, ["job_id", "page"], greedy.merge_boxes, "merged bigint", F.lit(1))
 
 
 def hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = hit_boxes(spark, sf_dir).withColumn("ord", F.col("hit_id"))
-    return greedy.by_group(b, ["job_id", "page"], greedy.text_lines, "line bigint")
+    return greedy.by_group(b, ["job_id", "page"], greedy.text_lines, "line bigint", F.lit(0))
 
 
 def document_probability(spark: SparkSession, sf_dir: str) -> DataFrame:

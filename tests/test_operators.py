@@ -254,3 +254,11 @@ def test_ordered_operators_with_a_hot_key(spark):
             assert around[k, i] == (own[n - 1][1] if n else None, own[n + 1][1] if n + 1 < len(own) else None, n)
             assert highs[k, i] == (max(x for _, x in own[:n]) if n else None)
     assert ordered.numbered(df.limit(0), "k", ["i"]).collect() == []
+
+
+def test_groups_of_one_and_more(spark):
+    rows = [("a", 0, 0.0, 0.0, 1.0, 1.0, 0.5), ("b", 1, 0.0, 0.0, 1.0, 1.0, 0.5), ("b", 2, 0.1, 0.0, 1.0, 1.0, 0.4), (None, 3, 0.0, 0.0, 1.0, 1.0, 0.5)]
+    df = spark.createDataFrame(rows, "k string, ord long, x double, y double, width double, height double, confidence double")
+    out = greedy.by_group(df, ["k"], greedy.merge_boxes, "merged bigint", F.lit(1))
+    assert {(r.k, r.ord, r.merged) for r in out.collect()} == {("a", 0, 1), ("b", 1, 2), (None, 3, 1)}
+    assert greedy.by_group(df.limit(0), ["k"], greedy.distinct_faces).collect() == []

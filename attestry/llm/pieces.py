@@ -64,9 +64,9 @@ def boundary_classes(raw: bytes, ends: np.ndarray) -> str:
 
 
 def _marked(documents: DataFrame, keep: list[str], text: str, vocabulary: str, limit: int) -> DataFrame:
-    """``keep``, text, n_tokens, blocks of classes and ends (of each token, in characters) for the texts over the limit."""
+    """``keep``, n_tokens, blocks of classes and of text and ends (of each token, in characters) for the texts over the limit."""
     schema = {f.name: f.dataType.simpleString() for f in documents.schema}
-    columns = ", ".join([*(f"`{c}` {schema[c]}" for c in keep), "__text string", "n_tokens int", "blocks array<string>", "ends array<int>"])
+    columns = ", ".join([*(f"`{c}` {schema[c]}" for c in keep), "n_tokens int", "blocks array<string>", "texts array<string>", "ends array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
@@ -77,18 +77,21 @@ def _marked(documents: DataFrame, keep: list[str], text: str, vocabulary: str, l
         for batch, texts in in_runs(batches, len(keep)):
             ids = encoder.encode(texts)
             big = [i for i, x in enumerate(ids) if len(x) > limit]
-            blocks, ends = [], []
+            blocks, parts, ends = [], [], []
             for i in big:
                 raw = texts[i].encode("utf-8", "replace")
                 stop = np.cumsum(length[ids[i]])
                 kinds = boundary_classes(raw, stop)
                 blocks.append([kinds[k : k + BLOCK] for k in range(0, len(kinds), BLOCK)])
                 chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-                ends.append(chars[stop].astype(np.int32))
+                end = chars[stop].astype(np.int32)
+                edges = [0, *end[BLOCK - 1 :: BLOCK].tolist(), len(texts[i])]
+                parts.append([texts[i][a:b] for a, b in zip(edges[:-1], edges[1:])])
+                ends.append(end)
             own = batch.take(pa.array(big, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*own.columns[: len(keep)], pa.array([texts[i] for i in big], pa.string()), pa.array([len(ids[i]) for i in big], pa.int32()), pa.array(blocks, pa.list_(pa.string())), pa.array(ends, pa.list_(pa.int32()))],
-                [*keep, "__text", "n_tokens", "blocks", "ends"],
+                [*own.columns[: len(keep)], pa.array([len(ids[i]) for i in big], pa.int32()), pa.array(blocks, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.string())), pa.array(ends, pa.list_(pa.int32()))],
+                [*keep, "n_tokens", "blocks", "texts", "ends"],
             )
 
     return spread(documents.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, columns)
@@ -133,23 +136,17 @@ def split(documents: DataFrame, keep: list[str], text: str = "text", vocabulary:
     texts give no rows; repeated rows are cut each on their own; columns
     outside ``keep`` are ignored.
     """
-    marked = _marked(documents, keep, text, vocabulary, limit)
-    # Positions in characters are looked up here, so that the ends of all tokens need not travel again.
+    marked = _marked(documents, keep, text, vocabulary, limit).withColumn("pieces", spans(F.col("n_tokens"), F.col("blocks"), limit, overlap))
     char = lambda token: F.when(token == 0, 0).otherwise(F.get("ends", token - 1))
-    placed = F.transform("pieces", lambda p: F.struct(p["start"], p["stop"], char(p["start"]).alias("a"), char(p["stop"]).alias("b")))
-    cut = marked.withColumn("pieces", spans(F.col("n_tokens"), F.col("blocks"), limit, overlap)).select(*keep, "__text", placed.alias("pieces"))
-    schema = {f.name: f.dataType.simpleString() for f in documents.schema}
-    columns = ", ".join([*(f"`{c}` {schema[c]}" for c in keep), "piece int", "start_char int", "end_char int", "n_tokens int", "overlap_tokens int", "text string"])
-
-    def carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, pieces = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1)
-            for row in range(batch.num_rows):
-                start, stop, a, b = (pieces[row].values.field(i).to_numpy() for i in range(4))
-                shared = np.concatenate([[0], np.maximum(stop[:-1] - start[1:], 0)])
-                own = [pa.repeat(batch.column(i)[row], len(start)) for i in range(len(keep))]
-                cut = [texts[row][i:j] for i, j in zip(a.tolist(), b.tolist())]
-                numbers = (np.arange(len(start)), a, b, stop - start, shared)
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int32()) for x in numbers), pa.array(cut, pa.string())], [*keep, "piece", "start_char", "end_char", "n_tokens", "overlap_tokens", "text"])
-
-    return cut.mapInArrow(carve, columns)
+
+    def piece(p: Column, i: Column) -> Column:
+        shared = F.when(i == 0, 0).otherwise(F.get("pieces", i - 1)["stop"] - p["start"])
+        # The text comes from the blocks that the piece lies in, so a cut costs the same anywhere in a text.
+        first = F.floor(p["start"] / BLOCK).cast("int")
+        begin, end, edge = char(p["start"]), char(p["stop"]), char(first * BLOCK)
+        held = F.array_join(F.slice("texts", first + 1, F.lit(-(-limit // BLOCK) + 1)), "")
+        return F.struct(
+            begin.cast("int").alias("start_char"), end.cast("int").alias("end_char"), (p["stop"] - p["start"]).alias("n_tokens"), F.greatest(shared, F.lit(0)).cast("int").alias("overlap_tokens"), F.substring(held, begin - edge + 1, end - begin).alias("text")
+        )
+
+    return marked.select(*keep, F.posexplode(F.transform("pieces", piece)).alias("piece", "_p")).select(*keep, "piece", "_p.start_char", "_p.end_char", "_p.n_tokens", "_p.overlap_tokens", "_p.text")

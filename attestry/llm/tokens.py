@@ -38,8 +38,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
 #: Characters encoded by one run of the recursive query, about, and words remembered between runs of one worker.
-RUN_CHARS = 2_000_000
-WORDS_KEPT = 250_000
+RUN_CHARS = 1_500_000
+WORDS_KEPT = 200_000
 
 _CONTRACT = """
 with recursive step(w, pos, tok, round) as (

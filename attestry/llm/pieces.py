@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.tokens import VOCABULARY, Encoder, in_runs, load_ranks
+from attestry.llm.tokens import VOCABULARY, Encoder, in_runs
 from attestry.session import spread
 
 LIMIT, OVERLAP = 512, 64
@@ -70,17 +70,13 @@ def _marked(documents: DataFrame, keep: list[str], text: str, vocabulary: str, l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
-        ranks = load_ranks(vocabulary)
-        length = np.zeros(max(ranks.values()) + 1, np.int64)
-        for t, r in ranks.items():
-            length[r] = len(t)
         for batch, texts in in_runs(batches, len(keep)):
             ids = encoder.encode(texts)
             big = [i for i, x in enumerate(ids) if len(x) > limit]
             blocks, parts, ends = [], [], []
             for i in big:
                 raw = texts[i].encode("utf-8", "replace")
-                stop = np.cumsum(length[ids[i]])
+                stop = np.cumsum(encoder.token_bytes[ids[i]])
                 kinds = boundary_classes(raw, stop)
                 blocks.append([kinds[k : k + BLOCK] for k in range(0, len(kinds), BLOCK)])
                 chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])

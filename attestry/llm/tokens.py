@@ -39,34 +39,35 @@ _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0
 
 #: Characters encoded by one run of the recursive query, about, and words remembered between runs of one worker.
 RUN_CHARS = 1_500_000
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 
 _CONTRACT = """
 with recursive step(w, pos, tok, round) as (
   select w, pos, tok, 0 from fresh
   union all
   (
-    with paired as (
-      select w, pos, tok, round, lead(tok) over word as next_tok
-      from step window word as (partition by w order by pos)
-    ), ranked as (
-      select p.*, m.merged, min(m.merged) over (partition by w) as least
-      from paired p left join merges m on m.a = p.tok and m.b = p.next_tok
-    ), chosen as (
-      -- Runs of overlapping occurrences (one token again and again): every second one contracts.
-      select w, pos, tok, round, merged is not distinct from least as hit,
-             row_number() over word - max(case when merged is distinct from least then row_number_ end) over (word rows between unbounded preceding and current row) as in_run
-      from (select *, row_number() over word as row_number_ from ranked where least is not null window word as (partition by w order by pos))
-      window word as (partition by w order by pos)
-    ), marked as (
-      select w, pos, tok, round, hit, hit and (coalesce(in_run, row_no) % 2 = 1) as head
-      from (select *, row_number() over (partition by w order by pos) as row_no from chosen)
-    ), kept as (
-      select m.*, lag(head, 1, false) over (partition by w order by pos) as gone, lead(tok) over (partition by w order by pos) as next_tok from marked m
+    with paired as materialized (
+      select p.w, p.rn, p.tok, p.round, m.merged
+      from (
+        select w, tok, round, cast(row_number() over word as integer) as rn, lead(tok) over word as next_tok
+        from step window word as (partition by w order by pos)
+      ) p left join merges m on m.a = p.tok and m.b = p.next_tok
+    ), least as materialized (
+      select w, min(merged) as merged from paired group by w having min(merged) is not null
+    ), heads as materialized (
+      -- Of overlapping occurrences (one token again and again) every second one contracts, from the left.
+      select w, rn, merged from (
+        select w, rn, merged, row_number() over (partition by w, island order by rn) as k from (
+          select p.w, p.rn, p.merged, p.rn - row_number() over (partition by p.w order by p.rn) as island
+          from paired p join least l on l.w = p.w and l.merged = p.merged
+        )
+      ) where k % 2 = 1
     )
-    select k.w, k.pos, case when head then m.merged else k.tok end, round + 1
-    from kept k left join merges m on k.head and m.a = k.tok and m.b = k.next_tok
-    where not gone
+    select p.w, p.rn, coalesce(h.merged, p.tok), p.round + 1
+    from paired p join least l on l.w = p.w
+    left join heads h on h.w = p.w and h.rn = p.rn
+    left join heads g on g.w = p.w and g.rn = p.rn - 1
+    where g.w is null
   )
 )
 select w, list(tok order by pos) as ids
@@ -89,6 +90,9 @@ class Encoder:
     def __init__(self, path: str) -> None:
         ranks = load_ranks(path)
         self.pattern = regex.compile(PATTERN)
+        self.token_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, r in ranks.items():
+            self.token_bytes[r] = len(t)
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         a, b, merged = zip(*merges)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.operators import ordered
@@ -82,22 +82,37 @@ def nearest_earlier(vectors: DataFrame, group: str, order: str, vector: str, lea
     return top.select(F.col("o").alias(order), (-F.col("m.b")).alias("best"), F.col("m.score").alias("score"))
 
 
+def job_key(c: Column) -> Column:
+    """An id as jobs.id writes it (32 hex digits in small letters); null for a blank one."""
+    return F.nullif(F.lower(F.regexp_replace(c, r"[\s{}-]+", "")), F.lit(""))
+
+
+def confirmed(pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` that link, ids as jobs.id writes them: all but near misses of faces, which are leads."""
+    kept = pairs.where(~F.lower(F.trim(F.coalesce("pair_type", F.lit("")))).eqNullSafe("face near miss"))
+    return kept.withColumns({c: job_key(F.col(c)) for c in ("job_id", "other_id")})
+
+
 def clusters(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``(id, label)``: the smallest id of each id's group, by propagation of minima with pointer jumping."""
+    """``(id, label)``: the smallest id of each id's group, by alternating star contractions: a long chain takes about log(length) rounds."""
+    spark = edges.sparkSession
     both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    both, both_at = written_at(both.select(F.explode(F.array(F.struct(F.col(a).alias("n"), F.col(b).alias("m")), F.struct(F.col(b).alias("n"), F.col(a).alias("m")))).alias("e")).select("e.*").distinct(), "edges")
-    labels, at = written_at(both.groupBy("n").agg(F.least("n", F.min("m")).alias("label")), "labels")
+    current, at = written_at(both.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "stars")
     while True:
-        around = both.join(labels.select(F.col("n").alias("m"), F.col("label").alias("l")), "m").groupBy("n").agg(F.min("l").alias("l"))
-        least = labels.join(around, "n").select("n", "label", F.least("label", "l").alias("l"))
-        jump = labels.select(F.col("n").alias("l"), F.col("label").alias("further"))
-        after, after_at = written_at(least.join(jump, "l", "left").select("n", F.least("l", "further").alias("label"), F.col("label").alias("was")), "labels")
-        moved = bool(after.where("label <> was").take(1))
-        dropped(edges.sparkSession, at)
-        labels, at = after.select("n", "label"), after_at
-        if not moved:
-            dropped(edges.sparkSession, both_at)
-            return labels.select(F.col("n").alias("id"), "label")
+        ways = current.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("m")), F.struct(F.col("v").alias("n"), F.col("u").alias("m")))).alias("e")).select("e.*")
+        # A vertex's larger neighbours, then its smaller ones and itself, move to the smallest of its neighbourhood.
+        low = ways.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+        large = ways.where("m > n").join(low, "n").select(F.col("low").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("low"))
+        small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("low").alias("u"), F.col("u").alias("v")), F.struct(F.col("low").alias("u"), F.col("v").alias("v")))).alias("e")).select("e.*")
+        after, after_at = written_at(small.where("u < v").distinct(), "stars")
+        twice = after.groupBy("v").count().where("count > 1").select("v")
+        deep = after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("v")
+        moving = bool(twice.limit(1).union(deep.limit(1)).take(1))
+        dropped(spark, at)
+        current, at = after, after_at
+        if not moving:
+            return current.select(F.col("v").alias("id"), F.col("u").alias("label")).union(current.select(F.col("u"), F.col("u").alias("l")).distinct())
 
 
 def named_clusters(edges: DataFrame, a: str, b: str, order: str) -> DataFrame:

@@ -57,8 +57,8 @@ def nearest_earlier_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = table(spark, sf_dir, "pairs").where("pair_type = 'Same QR payload'")
-    return linkage.named_clusters(kept, "job_id", "other_id", "pair_id")
+    """Groups of jobs that identical files, QR payloads and faces connect; near misses of faces link nothing."""
+    return linkage.named_clusters(linkage.confirmed(table(spark, sf_dir, "pairs")), "job_id", "other_id", "pair_id")
 
 
 def pair_listing(spark: SparkSession, sf_dir: str) -> DataFrame:

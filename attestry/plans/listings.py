@@ -62,9 +62,10 @@ def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "pairs").where("pair_type in ('Same QR payload', 'Identical file')")
-    named = linkage.named_clusters(pairs.where("pair_type = 'Same QR payload'"), "job_id", "other_id", "pair_id")
-    return linkage.pair_listing(pairs, named)
+    """All pairs with the cluster of their job, if confirmed links give it one; near misses of faces come after them in it."""
+    pairs = table(spark, sf_dir, "pairs")
+    named = linkage.named_clusters(linkage.confirmed(pairs), "job_id", "other_id", "pair_id")
+    return linkage.pair_listing(pairs.withColumn("job_id", linkage.job_key(F.col("job_id"))), named)
 
 
 def neighbours_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:

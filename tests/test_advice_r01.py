@@ -56,3 +56,8 @@ def test_duplicate_clusters_equal_union_find(spark, data):
     for r in QUERIES["duplicate_clusters"](spark, data).collect():
         found.setdefault(r.cluster, set()).add(r.id)
     assert {frozenset(g) for g in found.values()} == expected
+
+
+def test_pair_listing_has_all_pairs_and_clusters_of_all_confirmed_kinds(spark, tmp_path):
+    got = sorted((r.position, r.pair_id, r.cluster, r.evidence_rank) for r in QUERIES["pair_listing"](spark, pairs(spark, tmp_path)).collect())
+    assert [r[1:] for r in got] == [(2, "C1", 1), (3, "C2", 0), (4, "C2", 2), (1, "C2", 3), (6, None, 1), (5, None, 2), (7, None, 3)]

@@ -61,3 +61,9 @@ def test_duplicate_clusters_equal_union_find(spark, data):
 def test_pair_listing_has_all_pairs_and_clusters_of_all_confirmed_kinds(spark, tmp_path):
     got = sorted((r.position, r.pair_id, r.cluster, r.evidence_rank) for r in QUERIES["pair_listing"](spark, pairs(spark, tmp_path)).collect())
     assert [r[1:] for r in got] == [(2, "C1", 1), (3, "C2", 0), (4, "C2", 2), (1, "C2", 3), (6, None, 1), (5, None, 2), (7, None, 3)]
+
+
+def test_baseline_drift_keeps_long_lines(spark, tmp_path):
+    rows = [(1, "a", "certificate", "c" * 60 + "\nshort"), (2, "a", "certificate", "c" * 60 + "\nshort"), (3, "a", "marksheet", "m" * 60 + "\nshort")]
+    at = stored(spark, tmp_path, "documents", rows, "doc_id bigint, source string, kind string, text string")
+    assert {tuple(r) for r in QUERIES["template_baseline_drift"](spark, at).collect()} == {("c" * 60, "missing"), ("m" * 60, "new")}

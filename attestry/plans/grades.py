@@ -49,8 +49,8 @@ def storage_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def face_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of three or more jobs that faces of 0.45 or more connect."""
-    p = table(spark, sf_dir, "pairs").where("pair_type = 'Same face' and score >= 0.45 and length(job_id) = 32 and length(other_id) = 32")
+    """Groups of three or more jobs that matching faces connect."""
+    p = linkage.confirmed(table(spark, sf_dir, "pairs").where((F.col("pair_type") == "Same face") & (F.col("score") >= linkage.FACE_MATCH)))
     c = linkage.clusters(p, "job_id", "other_id")
     return c.groupBy("label").agg(F.count("*").alias("jobs")).where("jobs >= 3")
 

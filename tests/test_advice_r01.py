@@ -67,3 +67,9 @@ def test_baseline_drift_keeps_long_lines(spark, tmp_path):
     rows = [(1, "a", "certificate", "c" * 60 + "\nshort"), (2, "a", "certificate", "c" * 60 + "\nshort"), (3, "a", "marksheet", "m" * 60 + "\nshort")]
     at = stored(spark, tmp_path, "documents", rows, "doc_id bigint, source string, kind string, text string")
     assert {tuple(r) for r in QUERIES["template_baseline_drift"](spark, at).collect()} == {("c" * 60, "missing"), ("m" * 60, "new")}
+
+
+def test_face_groups_normalise_ids_and_match_from_the_threshold(spark, tmp_path):
+    rows = [(1, "Same face", A, DASHED_B, 0.9), (2, "Same face", B, C, 0.35), (3, "Same face", C, D, 0.34), (4, "Same face", C, " ", 0.9), (5, "Same face", None, C, 0.9)]
+    got = QUERIES["face_groups"](spark, stored(spark, tmp_path, "pairs", rows, PAIRS)).collect()
+    assert [tuple(r) for r in got] == [(A, 3)]

@@ -78,10 +78,11 @@ def clamped_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes that hold a link, by scheme and host."""
-    h = table(spark, sf_dir, "qr_hits").dropDuplicates(["hit_id"]).where(F.rlike("payload", F.lit("^https?://[a-z0-9.]+(/|$)")))
-    u = T.url_parts(F.col("payload"))
-    return h.groupBy(u["scheme"].alias("scheme"), u["host"].alias("host")).agg(F.count("*").alias("n"), F.count(u["query"]).alias("with_query"))
+    """Codes that hold a link, by scheme and host in small letters; blanks and byte order marks around it do not count."""
+    bare = F.regexp_replace("payload", r"^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+    u = T.url_parts(bare)
+    h = table(spark, sf_dir, "qr_hits").dropDuplicates(["hit_id"]).select(F.lower(u["scheme"]).alias("scheme"), F.lower(u["host"]).alias("host"), u["query"].alias("query"))
+    return h.where("scheme in ('http', 'https') and host is not null").groupBy("scheme", "host").agg(F.count("*").alias("n"), F.count("query").alias("with_query"))
 
 
 def first_and_last_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,9 @@ def test_face_groups_normalise_ids_and_match_from_the_threshold(spark, tmp_path)
     rows = [(1, "Same face", A, DASHED_B, 0.9), (2, "Same face", B, C, 0.35), (3, "Same face", C, D, 0.34), (4, "Same face", C, " ", 0.9), (5, "Same face", None, C, 0.9)]
     got = QUERIES["face_groups"](spark, stored(spark, tmp_path, "pairs", rows, PAIRS)).collect()
     assert [tuple(r) for r in got] == [(A, 3)]
+
+
+def test_link_parts_of_all_spellings(spark, tmp_path):
+    links = ["HTTPS://A-B.Example:8443/C?NO=1", "\n https://a-b.example?no=1 \n", "\ufeffhttps://a-b.example/c", "http://a.example", "No link: https", "mailto:a@b.example", None]
+    at = stored(spark, tmp_path, "qr_hits", list(enumerate(links)), "hit_id int, payload string")
+    assert {tuple(r) for r in QUERIES["link_parts"](spark, at).collect()} == {("https", "a-b.example", 3, 2), ("http", "a.example", 1, 0)}

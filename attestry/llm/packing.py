@@ -1,16 +1,14 @@
 """Documents packed into containers of fixed capacity.
 
 Items are spread over groups of about equal size (by a hash, so a hot source
-cannot fill one); within a group bins are filled best-fit and then improved by
-local search: moves, one-for-one and two-for-one exchanges between underfull
-bins, each of which increases the sum of squared fills, until bins run empty
-or no exchange helps.
+cannot fill one). Within a group items fill bins as they come; local search
+then empties the emptiest bins: moves, one-for-one and two-for-one exchanges
+with other underfull bins, each of which increases the sum of squared fills,
+until no bin can be saved or no exchange helps.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,19 +24,23 @@ GROUP_CONTAINERS = 1000
 
 
 class Bins:
-    """Bins of item numbers with their fills, during the search."""
+    """Items in bins of one capacity: each item's size and bin, each bin's items and fill."""
 
-    def __init__(self, sizes: np.ndarray, capacity: int) -> None:
-        self.sizes, self.capacity = sizes, capacity
-        self.items: list[list[int]] = []
-        self.fill: list[int] = []
+    #: Emptiest bins tried before the search ends; items of a bin that stand for it in exchanges of two.
+    BREADTH, PAIRED = 24, 10
 
-    def best_fit(self) -> None:
-        """Largest first, each into the fullest bin that still takes it."""
+    def __init__(self, sizes: np.ndarray, capacity: int) -> None:
+        self.sizes, self.capacity = np.asarray(sizes, np.int64), capacity
+        self.bin = np.zeros(len(self.sizes), np.int64)
+        self.items: list[set[int]] = []
+        self.fill = np.zeros(0, np.int64)
+        self._paired: dict[int, np.ndarray] = {}
+
+    def first_pass(self) -> None:
+        """Items as they come, each into the fullest bin that still takes it."""
         by_room: list[list[int]] = [[] for _ in range(self.capacity + 1)]
-        rooms = 0  # a bit for each room that some bin has
-        for item in np.argsort(-self.sizes, kind="stable").tolist():
-            size = int(self.sizes[item])
+        rooms, fill = 0, []  # a bit for each room that some bin has
+        for item, size in enumerate(self.sizes.tolist()):
             fitting = rooms >> size
             if fitting:
                 room = size + (fitting & -fitting).bit_length() - 1
@@ -46,74 +48,109 @@ class Bins:
                 if not by_room[room]:
                     rooms &= ~(1 << room)
             else:
-                room, b = self.capacity, len(self.items)
-                self.items.append([])
-                self.fill.append(0)
-            self.items[b].append(item)
-            self.fill[b] += size
+                room, b = self.capacity, len(fill)
+                fill.append(0)
+                self.items.append(set())
+            self.bin[item] = b
+            self.items[b].add(item)
+            fill[b] += size
             by_room[room - size].append(b)
             rooms |= 1 << (room - size)
-
-    def _swap(self, b: int, give: tuple[int, ...], c: int, take: tuple[int, ...]) -> None:
-        for i in give:
-            self.items[b].remove(i)
-            self.items[c].append(i)
-        for i in take:
-            self.items[c].remove(i)
-            self.items[b].append(i)
-        shift = int(self.sizes[list(give)].sum() - (self.sizes[list(take)].sum() if take else 0))
-        self.fill[b] -= shift
-        self.fill[c] += shift
-
-    def _improve(self, b: int, others: list[int]) -> bool:
-        """The exchange that takes load off bin ``b`` with the greatest gain in squared fill, if there is one."""
-        fill = np.array([self.fill[c] for c in others])
-        owner = np.concatenate([np.full(len(self.items[c]), k) for k, c in enumerate(others)]).astype(int)
-        single = np.concatenate([self.items[c] for c in others]).astype(int)
-        pairs = [(k, i, j) for k, c in enumerate(others) for i, j in combinations(self.items[c], 2)]
-        pair = np.array(pairs, int).reshape(-1, 3)
-        given = [(i,) for i in self.items[b]] + list(combinations(self.items[b], 2))
+        self.fill = np.array(fill, np.int64)
+
+    def _some(self, b: int) -> list[int]:
+        """The items of a bin, one for each size; evenly spaced ones if there are many."""
+        by_size = {int(self.sizes[i]): i for i in sorted(self.items[b])}
+        held = [by_size[s] for s in sorted(by_size, reverse=True) if s]
+        return held if len(held) <= self.PAIRED else [held[round(k * (len(held) - 1) / (self.PAIRED - 1))] for k in range(self.PAIRED)]
+
+    def _pairs(self, b: int) -> np.ndarray:
+        """Pairs of a bin's items, with the bin."""
+        if b not in self._paired:
+            some = self._some(b)
+            self._paired[b] = np.array([(b, some[i], some[j]) for i in range(len(some)) for j in range(i)], np.int64).reshape(-1, 3)
+        return self._paired[b]
+
+    def _exchange(self, b: int, give: tuple[int, ...], c: int, take: tuple[int, ...]) -> None:
+        for items, source, target in ((give, b, c), (take, c, b)):
+            for i in items:
+                self.items[source].discard(i)
+                self.items[target].add(i)
+                self.bin[i] = target
+                self.fill[source] -= self.sizes[i]
+                self.fill[target] += self.sizes[i]
+        if not self.fill[b]:  # items of no size go along
+            for i in self.items[b]:
+                self.bin[i] = c
+            self.items[c] |= self.items[b]
+            self.items[b] = set()
+        self._paired.pop(b, None)
+        self._paired.pop(c, None)
+
+    def _improve(self, b: int) -> int | None:
+        """Apply the exchange that takes load off bin ``b`` with the greatest gain in squared fill; the other bin, None if there is none."""
+        room = self.capacity - self.fill
+        under = np.flatnonzero((self.fill > 0) & (room > 0))
+        under = under[under != b]
+        if not len(under):
+            return None
         best, chosen = 0, None
-        for give in given:
-            size = int(self.sizes[list(give)].sum())
-            options = [(np.arange(len(others)), np.zeros(len(others), int), None), (owner, self.sizes[single], single)]  # move; one taken back
-            if len(give) == 1:
-                options.append((pair[:, 0], self.sizes[pair[:, 1]] + self.sizes[pair[:, 2]], pair[:, 1:]))
-            for at, back, items in options:
-                shift = size - back
-                gain = np.where((shift > 0) & (fill[at] + shift <= self.capacity), 2 * shift * (fill[at] - self.fill[b]) + 2 * shift * shift, 0)
-                if len(gain) and gain.max() > best:
-                    k = int(gain.argmax())
-                    best = gain[k]
-                    chosen = (give, others[at[k]], () if items is None else tuple(np.atleast_1d(items[k]).tolist()))
-        if chosen:
-            self._swap(b, *chosen)
-        return chosen is not None
+
+        def gain(shift: np.ndarray, c: np.ndarray) -> np.ndarray:
+            return np.where((shift > 0) & (shift <= room[c]), 2 * shift * (self.fill[c] - self.fill[b] + shift), 0)
+
+        gives = [(i,) for i in self._some(b)] + [(i, j) for _, i, j in self._pairs(b).tolist()]
+        given = [int(self.sizes[list(g)].sum()) for g in gives]
+        # A move goes to the fullest bin that takes it.
+        by_room = under[np.argsort(room[under], kind="stable")]
+        fitting = np.searchsorted(room[by_room], given)
+        for give, size, at in zip(gives, given, fitting.tolist()):
+            if at < len(by_room) and (value := int(gain(np.int64(size), by_room[at]))) > best:
+                best, chosen = value, (give, int(by_room[at]), ())
+        # One item taken back.
+        held = np.flatnonzero((room[self.bin] > 0) & (self.bin != b) & (self.sizes > 0))
+        sizes, owner = self.sizes[held], self.bin[held]
+        for give, size in zip(gives, given):
+            value = gain(size - sizes, owner)
+            if len(value) and value.max() > best:
+                best, chosen = int(value.max()), (give, int(owner[value.argmax()]), (int(held[value.argmax()]),))
+        if chosen is None:  # two taken back for one
+            pairs = np.concatenate([self._pairs(c) for c in under.tolist()])
+            sizes = self.sizes[pairs[:, 1]] + self.sizes[pairs[:, 2]]
+            for give, size in zip(gives, given):
+                if len(give) == 1 and len(pairs) and (value := gain(size - sizes, pairs[:, 0])).max() > best:
+                    k = int(value.argmax())
+                    best, chosen = int(value[k]), (give, int(pairs[k, 0]), (int(pairs[k, 1]), int(pairs[k, 2])))
+        if chosen is None:
+            return None
+        self._exchange(b, *chosen)
+        return chosen[1]
 
     def search(self) -> None:
         """Empty the emptiest bins into the other underfull ones, while bins can still be saved."""
-        least = -(-int(self.sizes.sum()) // self.capacity)
-        stuck: set[int] = set()
-        while sum(f > 0 for f in self.fill) > least:
-            under = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: self.fill[b])
-            free = [b for b in under if b not in stuck]
-            if not free or len(under) < 2:
+        least, count = -(-int(self.sizes.sum()) // self.capacity), int((self.fill > 0).sum())
+        stuck = np.zeros(len(self.fill), bool)
+        while count > least:
+            emptiest = np.argsort(np.where(self.fill > 0, self.fill, self.capacity + 1), kind="stable")[: self.BREADTH].tolist()
+            b = next((b for b in emptiest if 0 < self.fill[b] < self.capacity and not stuck[b]), None)
+            if b is None:
                 break
-            if self._improve(free[0], [c for c in under if c != free[0]]):
-                stuck.clear()
+            other = self._improve(b)
+            if other is None:
+                stuck[b] = True
+            elif self.fill[b]:
+                stuck[[b, other]] = False
             else:
-                stuck.add(free[0])
+                count -= 1
+                stuck[:] = False
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """A container number for each item, numbered from 0 without gaps; no size may exceed the capacity."""
     bins = Bins(np.asarray(sizes, np.int64), capacity)
-    bins.best_fit()
+    bins.first_pass()
     bins.search()
-    out = np.zeros(len(sizes), np.int64)
-    for number, items in enumerate(i for i in bins.items if i):
-        out[items] = number
-    return out
+    return np.unique(bins.bin, return_inverse=True)[1] if len(bins.bin) else bins.bin
 
 
 def packed(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
@@ -138,4 +175,11 @@ def packed(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
         return pdf.drop(columns="group").assign(container_id=[f"{group}-{i}" for i in at])
 
     spread = items.withColumn("group", F.pmod(F.xxhash64(key, "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-    return spread.groupBy("group").applyInPandas(fill, f"`{key}` {kind}, piece int, start_token int, n_tokens int, container_id string")
+    # A group costs seconds, whatever its bytes: as many partitions as groups, which are not joined again.
+    return spread.repartition(groups, "group").groupBy("group").applyInPandas(fill, f"`{key}` {kind}, piece int, start_token int, n_tokens int, container_id string")
+
+
+def fill(assigned: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``(items, tokens, containers, least, fill)`` of :func:`packed`: containers used and needed at least, and the share of them that is filled."""
+    total = assigned.agg(F.count("*").alias("items"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.count_distinct("container_id").alias("containers"))
+    return total.select("*", F.ceil(F.col("tokens") / capacity).alias("least"), F.round(F.try_divide("tokens", F.col("containers") * capacity), 6).alias("fill"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -75,17 +76,31 @@ def test_packing_wastes_little(seed):
         fill[b] += s
     assert max(fill) <= packing.CAPACITY
     plain = packing.Bins(np.array(sizes), packing.CAPACITY)
-    plain.best_fit()
+    plain.first_pass()
     assert len(fill) <= len(plain.items)  # the search never costs a bin
     assert len(fill) <= 1.06 * -(-sum(sizes) // packing.CAPACITY) + 1
 
 
-def test_search_beats_best_fit_where_exchanges_help():
-    sizes = [6, 6, 5, 5, 5, 3] * 1 + [4, 4, 2]
-    bins = packing.Bins(__import__("numpy").array(sizes), 10)
-    bins.items, bins.fill = [[0], [1], [2, 3], [4, 5], [6, 7], [8]], [6, 6, 10, 8, 8, 2]
+def test_search_of_mid_sized_items_is_close_to_the_bound_in_seconds():
+    r, began = random.Random(1), time.time()
+    sizes = [r.randint(300, 1100) for _ in range(2000)]
+    assert len(set(packing.pack(sizes).tolist())) <= 1.01 * sum(sizes) / packing.CAPACITY + 1
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("sizes, bins", [([0] * 5, 1), ([], 0), ([2048] * 30, 30), ([1025] * 30, 30), ([2048, 0, 0, 1], 2)])
+def test_packing_at_the_edges(sizes, bins):
+    assert len(set(packing.pack(np.array(sizes, np.int64)).tolist())) == bins
+
+
+def test_search_saves_bins_by_exchanges():
+    sizes = [6, 6, 5, 5, 5, 3, 4, 4, 2]
+    bins = packing.Bins(np.array(sizes), 10)
+    bins.items = [{0}, {1}, {2, 3}, {4, 5}, {6, 7}, {8}]
+    bins.bin, bins.fill = np.array([0, 1, 2, 2, 3, 3, 4, 4, 5]), np.array([6, 6, 10, 8, 8, 2])
     bins.search()
-    assert sum(f > 0 for f in bins.fill) == 4 and max(bins.fill) <= 10
+    assert (bins.fill > 0).sum() == 4 and bins.fill.max() <= 10
+    assert (np.bincount(bins.bin, sizes, 6) == bins.fill).all()
 
 
 def test_packed_table(spark):
@@ -101,3 +116,5 @@ def test_packed_table(spark):
         own = [r for r in rows if r.doc_id == i]
         assert sum(r.n_tokens for r in own) == n and len(own) == max(1, -(-n // packing.CAPACITY))
     assert packing.packed(df.limit(0)).collect() == []
+    told = packing.fill(packing.packed(df)).first()
+    assert (told.items, told.containers) == (len(rows), len(sizes)) and told.tokens == sum(sizes.values()) and told.least <= told.containers

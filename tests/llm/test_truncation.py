@@ -81,3 +81,21 @@ def test_measures(spark):
     got = spark.range(1).select(*(c.alias(n) for n, c in truncation.measures(F.lit(v)).items())).first().asDict()
     assert got["characters"] == 9 and got["utf8"] == len(v.encode()) and got["utf16"] == len(v.encode("utf-16-le")) // 2
     assert got["json_ascii"] == len(__import__("json").dumps(v)) - 2 and got["html"] == len(__import__("html").escape(v)) and got["crlf"] == 10
+
+
+def test_several_limits_and_sentences_that_end_in_an_abbreviation(spark):
+    r = random.Random(8)
+    rows, cut, whole = [], {}, set()
+    for source, limits in (("a", {"Note": 60, "Reason": 90}), ("b", {}), ("c", {})):
+        for label in ("Note", "Reason"):
+            for _ in range(400):
+                text = " ".join(" ".join(r.choice(WORDS) for _ in range(r.randint(3, 9))).capitalize() + r.choice([".", ".", " todavía no."]) for _ in range(r.randint(1, 5)))
+                limit = limits.get(label, 10**6)
+                if len(text) > limit and text[limit - 1] != ".":
+                    cut[len(rows)] = limit
+                elif text.endswith(" no.") and len(text) <= limit:
+                    whole.add(len(rows))
+                rows.append((len(rows), source, label, text[:limit], f"j{len(rows)}", "", 0))
+    found = {r.fact_id: r for r in truncation.truncated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(cut) > 100 and set(cut) <= set(found) and all(found[k].limit == n and found[k].by_limit for k, n in cut.items())
+    assert len(whole) > 100 and not whole & set(found)

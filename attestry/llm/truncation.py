@@ -37,42 +37,58 @@ CLOSING_SHARE, NAMED_SHARE = 0.05, 1e-5
 _TERMINAL = r"""[.!?।。！？؟]["”»’')\]]*$"""
 #: Full stops that end no sentence: abbreviations, and numbers that go on behind a point.
 _ABBREVIATION = r"""(?i)(^|[\s("])(e\.g|i\.e|approx|ca|no|nos|nr|p|pp|sec|vs|mr|mrs|ms|dr|st|z\.b|d\.h|(sec\.|approx\.|version|v)\s?\d[\d.]*)\.$"""
+_SHORT = r"\s(?:[Ee]\.g|[Ii]\.e|[Aa]pprox|[Cc]a|[Nn]os?|NOS?|[Nn]r|[Pp]{1,2}|[Ss]ec|[Vv]s|[Mm]rs?|[Mm]s|[Dd]r|[Ss]t|[Zz]\.[Bb]|[Dd]\.[Hh])\.(?:\s|$)"
 _TAIL = r"(?i)(\S+\s+(?:e\.g|i\.e|approx|ca|no|nos|nr|p|pp|sec|vs|mr|mrs|ms|dr|st|z\.b|d\.h)\.)(?=\s|$)"
-_MARKER = "(…|\\.\\.\\.|�)$"
-
-
-def _count(v: Column, pattern: str) -> Column:
-    return F.regexp_count(v, F.lit(pattern))
 
 
 #: What a value without any of these has one length by, whatever the measure.
 _SPECIAL = r"""[^\x20-\x7E]|["\\&<>']"""
 
 
-def measures(v: Column) -> dict[str, Column]:
-    """The length of ``v`` as different stores count it; a last character that was split counts for nothing."""
-    v = F.regexp_replace(v, "\ufffd$", "")
-    chars = F.char_length(v)
-    astral = _count(v, r"[\x{10000}-\x{10FFFF}]")
-    other = _count(v, r"[^\x00-\x7F]")
-    quotes = _count(v, r"""["\\\n\r\t\x08\x0C]""")
-    lines = _count(v, r"(?<!\r)\n")
-    entities = 4 * _count(v, "&") + 3 * _count(v, "[<>]") + 5 * _count(v, '"')
+def counts(v: Column) -> dict[str, Column]:
+    """What the measures add up: characters, bytes, and how often the characters stand that some store writes longer."""
+    special = F.rlike(v, F.lit(_SPECIAL))
+    count = lambda pattern: F.when(special, F.regexp_count(v, F.lit(pattern))).otherwise(0)
+    lost = F.when(F.endswith(v, F.lit("\ufffd")), 1).otherwise(0)  # a last character that was split counts for nothing
+    return {
+        "special": special,
+        "chars": F.char_length(v) - lost,
+        "octets": F.octet_length(v) - 3 * lost,
+        "lost": lost,
+        "other": F.when(F.octet_length(v) > F.char_length(v), F.regexp_count(v, F.lit(r"[^\x00-\x7F]"))).otherwise(0) - lost,
+        "astral": F.when(F.octet_length(v) >= F.char_length(v) + 3, F.regexp_count(v, F.lit(r"[\x{10000}-\x{10FFFF}]"))).otherwise(0),
+        "escaped": count(r"""["\\\n\r\t\x08\x0C]"""),
+        "lines": count(r"(?<!\r)\n"),
+        "ampersands": count("&"),
+        "angles": count("[<>]"),
+        "quotes": count('"'),
+        "apostrophes": count("'"),
+    }
+
+
+def sizes(c: dict[str, Column]) -> dict[str, Column]:
+    """The length of a value as different stores count it, from its :func:`counts`."""
+    entities = 4 * c["ampersands"] + 3 * c["angles"] + 5 * c["quotes"]
     return {
-        "characters": chars,
-        "utf8": F.octet_length(v),
-        "utf16": chars + astral,
-        "html": chars + entities,
-        "html_apostrophe": chars + entities + 5 * _count(v, "'"),
-        "html_utf8": F.octet_length(v) + entities,
-        "json": chars + quotes,
-        "json_utf8": F.octet_length(v) + quotes,
-        "json_ascii": chars + quotes + 5 * other + 6 * astral,
-        "crlf": chars + lines,
-        "crlf_utf8": F.octet_length(v) + lines,
+        "characters": c["chars"],
+        "utf8": c["octets"],
+        "utf16": c["chars"] + c["astral"],
+        "html": c["chars"] + entities,
+        "html_apostrophe": c["chars"] + entities + 5 * c["apostrophes"],
+        "html_utf8": c["octets"] + entities,
+        "json": c["chars"] + c["escaped"],
+        "json_utf8": c["octets"] + c["escaped"],
+        "json_ascii": c["chars"] + c["escaped"] + 5 * c["other"] + 6 * c["astral"],
+        "crlf": c["chars"] + c["lines"],
+        "crlf_utf8": c["octets"] + c["lines"],
     }
 
 
+def measures(v: Column) -> dict[str, Column]:
+    """The length of ``v`` as different stores count it; a last character that was split counts for nothing."""
+    return sizes(counts(v))
+
+
 #: The names of the measures, the plainest first.
 MEASURES = ["characters", "utf8", "utf16", "html", "html_apostrophe", "html_utf8", "json", "json_utf8", "json_ascii", "crlf", "crlf_utf8"]
 
@@ -90,13 +106,14 @@ def _described(facts: DataFrame) -> DataFrame:
         "*",
         v.alias("v"),
         (F.col("value") != v).alias("trailing"),
-        F.rlike(v, F.lit(_TERMINAL)).alias("stops"),
-        F.rlike(v, F.lit(_ABBREVIATION)).alias("short"),
-        F.rlike(v, F.lit(_MARKER)).alias("marked"),
+        # Patterns of bounded length at the end need no search through the value.
+        F.rlike(F.right(v, F.lit(32)), F.lit(_TERMINAL)).alias("stops"),
+        (F.endswith(v, F.lit(".")) & F.rlike(F.right(v, F.lit(64)), F.lit(_ABBREVIATION))).alias("short"),
+        (F.endswith(v, F.lit("…")) | F.endswith(v, F.lit("...")) | F.endswith(v, F.lit("\ufffd"))).alias("marked"),
         items.alias("items"),
         F.element_at(items, -1).alias("last_item"),
         # The last word with its digits alike; a trailing comma is an ending too.
-        F.regexp_replace(F.regexp_extract(v, r"(\S+)$", 1), "[0-9]", "0").alias("ending"),
+        F.translate(F.substring_index(F.translate(v, "\t\r\n", "   "), " ", -1), "123456789", "000000000").alias("ending"),
     )
 
 
@@ -126,8 +143,8 @@ def _recurring(rows: DataFrame, key: Column, share: float, name: str) -> DataFra
 
 def _closing(d: DataFrame) -> DataFrame:
     """(label, tail): a word and an abbreviation that end whole values often enough to be the end of a sentence."""
-    tails = F.transform(F.regexp_extract_all("v", F.lit(_TAIL), 1), lambda t: F.regexp_replace(t, r"\s+", " "))
-    own = d.where(F.contains("v", F.lit(".")) & (F.size(tails) > 0)).select("label", "source", "job_id", F.explode(F.array_distinct(tails)).alias("tail"), F.when(F.col("short"), F.element_at(tails, -1)).alias("last"))
+    held = d.where(F.rlike("v", F.lit(_SHORT))).select("label", "source", "short", F.transform(F.regexp_extract_all("v", F.lit(_TAIL), 1), lambda t: F.regexp_replace(t, r"\s+", " ")).alias("tails"))
+    own = held.where(F.size("tails") > 0).select("label", "source", F.explode(F.array_distinct("tails")).alias("tail"), F.when(F.col("short"), F.element_at("tails", -1)).alias("last"))
     ends = F.col("tail").eqNullSafe(F.col("last"))
     counted = own.groupBy("label", "tail").agg(F.count("*").alias("held"), F.count_if(ends).alias("ending"), F.min(F.when(ends, F.col("source"))).alias("a"), F.max(F.when(ends, F.col("source"))).alias("b"))
     enough = (F.col("ending") >= RECURS) & (F.col("ending") >= CLOSING_SHARE * F.col("held")) & (F.col("a") != F.col("b"))
@@ -193,15 +210,14 @@ def inspected(facts: DataFrame, places: list[str]) -> DataFrame:
 
 def _lengths(facts: DataFrame) -> DataFrame:
     """``(source, label, rank, n, c)``: how many values of a source and label have length n under each measure, by the measure's number."""
-    v = F.col("value")
-    # One regular expression spares most values the others: without special characters all measures agree.
-    plain = ~F.rlike(v, F.lit(_SPECIAL))
-    each = F.array(*(F.struct(F.lit(i).alias("rank"), c.alias("n")) for i, c in enumerate(measures(v).values())))
-    one = F.array(F.struct(F.lit(-1).alias("rank"), F.char_length(v).alias("n")))
-    kept = facts.where("value is not null and value <> ''").select("source", F.coalesce("label", F.lit("")).alias("label"), F.explode(F.when(plain, one).otherwise(each)).alias("m"))
-    counted = kept.groupBy("source", "label", "m.rank", "m.n").agg(F.count("*").alias("c"))
+    counted = facts.where("value is not null and value <> ''").select("source", F.coalesce("label", F.lit("")).alias("label"), *(c.alias(n) for n, c in counts(F.col("value")).items()))
+    # Without special characters all measures agree: one row for the eleven.
+    each = F.array(*(F.struct(F.lit(i).alias("rank"), c.alias("n")) for i, c in enumerate(sizes({n: F.col(n) for n in counts(F.lit(""))}).values())))
+    one = F.array(F.struct(F.lit(-1).alias("rank"), F.col("chars").alias("n")))
+    agree = ~F.col("special") & (F.col("octets") == F.col("chars"))
+    grouped = counted.select("source", "label", F.explode(F.when(agree, one).otherwise(each)).alias("m")).groupBy("source", "label", "m.rank", "m.n").agg(F.count("*").alias("c"))
     ranks = F.when(F.col("rank") < 0, F.sequence(F.lit(0), F.lit(len(MEASURES) - 1))).otherwise(F.array("rank"))
-    return counted.select("source", "label", F.explode(ranks).alias("rank"), "n", "c").groupBy("source", "label", "rank", "n").agg(F.sum("c").alias("c"))
+    return grouped.select("source", "label", F.explode(ranks).alias("rank"), "n", "c").groupBy("source", "label", "rank", "n").agg(F.sum("c").alias("c"))
 
 
 def limits(facts: DataFrame, places: list[str]) -> DataFrame:

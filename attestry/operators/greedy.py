@@ -44,7 +44,7 @@ def distinct_faces(pdf: pd.DataFrame, least: float = 0.30, near: float = 0.35) -
     kept: list[int] = []
     for i, b in enumerate(boxes):
         centre = b[:2] + b[2:] / 2
-        same = any(_iou(boxes[k], b) >= least or math.dist(boxes[k][:2] + boxes[k][2:] / 2, centre) <= near * min(boxes[k][2:].min(), b[2:].min()) for k in kept)
+        same = any(_iou(boxes[k], b) >= least or math.dist(boxes[k][:2] + boxes[k][2:] / 2, centre) <= near * max(boxes[k][2:].max(), b[2:].max()) for k in kept)
         if not same:
             kept.append(i)
     return rows.iloc[kept]
@@ -79,18 +79,14 @@ def orientation_families(pdf: pd.DataFrame, within: float = 12) -> pd.DataFrame:
 
 
 def text_lines(pdf: pd.DataFrame, share: float = 0.6) -> pd.DataFrame:
-    """Components grouped to lines: one joins the line whose running mean centre is within ``share`` of its height; adds ``line``."""
-    rows = pdf.assign(_c=pdf["y"] + pdf["height"] / 2).sort_values(["_c", "x", "ord"])
-    anchors: list[list[float]] = []
-    line = []
-    for centre, height in rows[["_c", "height"]].to_numpy(float):
-        at = next((k for k, (mean, _) in enumerate(anchors) if abs(centre - mean) <= share * height), None)
-        if at is None:
-            anchors.append([centre, 1])
-            at = len(anchors) - 1
-        else:
-            mean, n = anchors[at]
-            anchors[at] = [(mean * n + centre) / (n + 1), n + 1]
+    """Components grouped to lines, by their centres downwards: one joins the line before it if its centre is within ``share`` of the median height of that line's mean; adds ``line``."""
+    rows = pdf.assign(_c=pdf["y"] + pdf["height"] / 2).sort_values(["_c", "ord"])
+    near = max(float(rows["height"].median()) * share, 1.0)
+    line, at, mean, n = [], 0, 0.0, 0
+    for centre in rows["_c"].to_numpy(float):
+        if n and abs(centre - mean) > near:
+            at, mean, n = at + 1, 0.0, 0
+        mean, n = (mean * n + centre) / (n + 1), n + 1
         line.append(at)
     return rows.drop(columns="_c").assign(line=line)
 

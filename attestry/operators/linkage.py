@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions import text as T
 from attestry.operators import ordered
 from attestry.session import dropped, written_at
 
@@ -18,33 +19,57 @@ EVIDENCE_RANK = {"Identical file": 0, "Same QR payload": 1, "Same face": 2, "Fac
 def prior_screenings(jobs: DataFrame) -> DataFrame:
     """Of each job whose digest others have: how many others, and the newest of them: (id, others, newest_id).
 
-    One row a job, not one a pair: a digest may be that of a third of all jobs.
+    One row a job, not one a pair: a digest may be that of a third of all
+    jobs. Digests count however they are written; an empty file's does not.
     """
-    held = jobs.where("sha256 is not null").select("id", "sha256", F.struct("created_at", "id").alias("at"))
+    held = jobs.select("id", T.digest(F.col("sha256")).alias("sha256"), F.struct("created_at", "id").alias("at")).where("sha256 is not null")
     groups = held.groupBy("sha256").agg(F.count("*").alias("n"), F.max("at").alias("top")).where("n > 1")
     joined = held.join(groups, "sha256")
     second = joined.where(F.col("id") != F.col("top.id")).groupBy("sha256").agg(F.max("at").alias("second"))
     return joined.join(second, "sha256").select("id", (F.col("n") - 1).alias("others"), F.when(F.col("id") == F.col("top.id"), F.col("second.id")).otherwise(F.col("top.id")).alias("newest_id"))
 
 
+def screenings_of(jobs: DataFrame, sha256: str, exclude: str | None = None) -> DataFrame:
+    """All jobs of one digest but ``exclude``, later ones too, newest first."""
+    same = T.digest(F.col("sha256")) == T.digest(F.lit(sha256))
+    return jobs.where(same & ~F.col("id").eqNullSafe(F.lit(exclude))).orderBy(F.desc("created_at"), F.desc("id"))
+
+
 def identical_files(jobs: DataFrame) -> DataFrame:
     """Within a batch, each job with the first job, by position, that holds its digest: (batch_id, id, first_id)."""
-    holder = Window.partitionBy("batch_id", "sha256").orderBy("batch_position", "id")
-    held = jobs.where("sha256 is not null and batch_id is not null").withColumn("first_id", F.first("id").over(holder))
-    return held.where("id <> first_id").select("batch_id", "id", "first_id")
+    held = jobs.select("batch_id", "id", "batch_position", T.digest(F.col("sha256")).alias("sha256")).where("sha256 is not null and batch_id is not null")
+    # The first holder of a digest is aggregated before it is joined: one digest may fill a batch.
+    first = held.groupBy("batch_id", "sha256").agg(F.min_by("id", F.struct("batch_position", "id")).alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    return held.join(first, ["batch_id", "sha256"]).where("id <> first_id").select("batch_id", "id", "first_id")
 
 
 def payload_holders(hits: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Within a batch, each job's first hit whose payload an earlier job holds, and that payload's first holder.
+    """Within a batch, each job that decoded a payload: (batch_id, job_id, status, hit_id, first_id, payload).
 
-    (batch_id, job_id, hit_id, first_id); jobs without a payload are absent,
-    as are jobs that repeat nothing.
+    A duplicate's first hit whose payload an earlier job holds, with that
+    payload's first holder; of a new one these are null. Blanks around a
+    payload do not count; jobs without a payload are absent.
     """
-    placed = hits.where("payload is not null and trim(payload) <> ''").join(jobs.where("batch_id is not null").select(F.col("id").alias("job_id"), "batch_id", "batch_position"), "job_id")
+    bare = F.nullif(F.regexp_replace("payload", r"^\s+|\s+$", ""), F.lit(""))
+    placed = hits.select("hit_id", "job_id", bare.alias("payload")).where("payload is not null").join(jobs.where("batch_id is not null").select(F.col("id").alias("job_id"), "batch_id", "batch_position"), "job_id")
     holders = placed.groupBy("batch_id", "payload").agg(F.min(F.struct("batch_position", "job_id")).alias("first"))
-    earlier = placed.join(holders, ["batch_id", "payload"]).where("first.batch_position < batch_position")
-    best = earlier.groupBy("batch_id", "job_id").agg(F.min(F.struct(F.col("hit_id"), F.col("first.job_id").alias("first_id"))).alias("hit"))
-    return best.select("batch_id", "job_id", "hit.hit_id", "hit.first_id")
+    earlier = F.when(F.col("first.batch_position") < F.col("batch_position"), F.struct(F.col("hit_id"), F.col("first.job_id").alias("first_id"), "payload"))
+    best = placed.join(holders, ["batch_id", "payload"]).groupBy("batch_id", "job_id").agg(F.min(earlier).alias("hit"))
+    return best.select("batch_id", "job_id", F.when(F.col("hit").isNull(), "new").otherwise("duplicate").alias("status"), "hit.hit_id", "hit.first_id", "hit.payload")
+
+
+def match_signals(jobs: DataFrame, hits: DataFrame, faces: DataFrame) -> DataFrame:
+    """The signals that link jobs as one table: (pair_type, job_id, other_id, score).
+
+    Identical files and repeated payloads of one batch, and ``faces`` (job_id,
+    other_id, score): a match from FACE_MATCH, a near miss from NEAR_MISS.
+    """
+    none = F.lit(None).cast("double").alias("score")
+    files = identical_files(jobs).select(F.lit("Identical file").alias("pair_type"), F.col("id").alias("job_id"), F.col("first_id").alias("other_id"), none)
+    codes = payload_holders(hits, jobs).where("status = 'duplicate'").select(F.lit("Same QR payload").alias("pair_type"), "job_id", F.col("first_id").alias("other_id"), none)
+    kind = F.when(F.col("score") >= FACE_MATCH, "Same face").when(F.col("score") >= NEAR_MISS, "Face near miss")
+    seen = faces.select(kind.alias("pair_type"), job_key(F.col("job_id")).alias("job_id"), job_key(F.col("other_id")).alias("other_id"), "score").where("pair_type is not null and job_id is not null and other_id is not null")
+    return files.unionByName(codes).unionByName(seen)
 
 
 #: Rows of a group that are compared with as many others in one task.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.operators import grading as G
+
 
 def aligned(counts: DataFrame, key: str, page: str) -> DataFrame:
     """``(key, page)`` for every page from 1 to the last of each document, so that pages without evidence show."""
@@ -83,3 +85,61 @@ def merged_intervals(rows: DataFrame, key: str, start: str, end: str, gap: float
     fresh = F.coalesce(F.col(start) > F.max(end).over(before) + gap, F.lit(True))
     island = rows.withColumn("_new", fresh.cast("int")).withColumn("_island", F.sum("_new").over(running))
     return island.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
+
+
+#: Readings of recaptured images, the worst first.
+MOIRE_RANK = ["RECAPTURE", "INCONCLUSIVE", "CLEAN"]
+_VALUES = "array<struct<page:bigint,measure:string,number:double,text:string>>"
+
+
+def page_values(raws: DataFrame) -> DataFrame:
+    """``(job_id, pos, analyzer_id, pages, values)``: what each payload says of single pages, and how many pages it knows of."""
+    raw = F.col("raw")
+    none = F.lit(None).cast("double")
+
+    def value(page: Column, measure: str, number: Column = none, text: Column | None = None) -> Column:
+        return F.struct(page.alias("page"), F.lit(measure).alias("measure"), number.cast("double").alias("number"), (F.lit(None).cast("string") if text is None else text).alias("text"))
+
+    def each(path: str, measure: str) -> Column:
+        return F.transform(G.objects(raw, path), lambda x: value(G.count(x, "$.page"), measure, F.lit(1.0))).cast(_VALUES)
+
+    groups = F.when(F.size(G.items(raw, "$.embedded_typefaces")) > 0, G.objects(raw, "$.embedded_typefaces")).otherwise(G.embedded_fonts(raw)[0])
+    name = lambda g: F.coalesce(G.text(g, "$.typeface", "$.font_name"), F.lit("(unnamed)"))
+    fonts = F.flatten(F.transform(groups, lambda g: F.transform(G.items(g, "$.pages_used"), lambda p: value(G.count(p, "$"), "fonts", none, name(g))))).cast(_VALUES)
+    photos = each("$.photos", "photos")
+    one = F.array(value(G.count(raw, "$.page"), "photos", F.greatest(F.lit(1).cast("bigint"), G.count(raw, "$.photo_count")))).cast(_VALUES)
+    photos = F.when(F.exists(photos, lambda x: x["page"] > 0), photos).when(F.coalesce(G.get(raw, "$.photo_found", "boolean"), F.lit(False)), one).otherwise(photos)
+    scans = G.objects(raw, "$.pages")
+    tamper = F.concat(F.transform(scans, lambda x: value(G.count(x, "$.page"), "probability", G.get(x, "$.probability", "double"))), F.transform(scans, lambda x: value(G.count(x, "$.page"), "regions", F.size(G.items(x, "$.regions"))))).cast(_VALUES)
+    scored = F.filter(G.objects(raw, "$.pair_assessments"), lambda x: G.is_number(x, "$.same_phone_score"))
+    pairs = F.flatten(F.transform(scored, lambda x: F.array(*(value(G.count(x, f"$.{k}"), "pair", G.get(x, "$.same_phone_score", "double")) for k in ("page_a", "page_b"))))).cast(_VALUES)
+    said = lambda x: F.array_position(F.array(*(F.lit(v) for v in MOIRE_RANK)), F.upper(F.trim(F.try_variant_get(x, "$.verdict", "string"))))
+    moire = F.filter(F.transform(G.objects(raw, "$.images"), lambda x: value(G.count(x, "$.page"), "moire", said(x))), lambda v: v["number"] > 0).cast(_VALUES)
+    is_ = lambda a: F.col("analyzer_id") == a
+    values = (
+        F.when(is_("font_analysis"), fonts).when(is_("photo_detection"), photos).when(is_("signature"), each("$.regions", "signatures")).when(is_("qr_presence"), each("$.hits", "codes"))
+        .when(is_("tamper_scan"), tamper).when(is_("same_phone"), pairs).when(is_("moire"), moire).otherwise(F.array().cast(_VALUES))
+    )
+    known = F.when(is_("metadata"), G.count(raw, "$.generation.pages")).when(is_("tamper_scan") | is_("same_phone"), F.size(G.items(raw, "$.pages")).cast("bigint"))
+    return raws.select("job_id", "pos", "analyzer_id", known.alias("pages"), F.filter(values, lambda v: v["page"] > 0).alias("values"))
+
+
+def sheet(values: DataFrame) -> DataFrame:
+    """One row for each page of each document from :func:`page_values`: fonts, font_names, photos, signatures, codes, probability, regions, lowest_pair, moire.
+
+    A document has as many pages as its payloads know of; one of which none
+    says anything is absent. Null means that the check was not run, or says
+    nothing of single pages.
+    """
+    checks = {"fonts": "font_analysis", "photos": "photo_detection", "signatures": "signature", "codes": "qr_presence", "regions": "tamper_scan"}
+    ran = values.groupBy("job_id").agg(F.greatest(F.max("pages"), F.max(F.array_max(F.transform("values", lambda v: v["page"])))).alias("n"), *(F.bool_or(F.col("analyzer_id") == a).alias(f"ran_{m}") for m, a in checks.items()))
+    series = ran.where("n >= 1").select("job_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("page"), *(f"ran_{m}" for m in checks))
+    v = values.select("job_id", F.explode("values").alias("v")).select("job_id", "v.*")
+    of = lambda m, c: F.when(F.col("measure") == m, F.col(c))
+    own = v.groupBy("job_id", "page").agg(
+        F.array_sort(F.collect_set(of("fonts", "text"))).alias("names"), *(F.sum(of(m, "number")).alias(m) for m in ("photos", "signatures", "codes", "regions")), F.max(of("probability", "number")).alias("probability"), F.min(of("pair", "number")).alias("lowest_pair"), F.min(of("moire", "number")).alias("_moire")
+    )
+    joined = series.join(own, ["job_id", "page"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    counted = {m: F.when(F.col(f"ran_{m}"), F.coalesce(F.size("names").cast("double") if m == "fonts" else F.col(m), F.lit(0.0)).cast("bigint")) for m in checks}
+    moire = F.initcap(F.lower(F.get(F.array(*(F.lit(m) for m in MOIRE_RANK)), (F.col("_moire") - 1).cast("int"))))
+    return joined.select("job_id", "page", *(c.alias(m) for m, c in counted.items() if m != "regions"), F.when(F.col("ran_fonts"), F.array_join("names", ", ")).alias("font_names"), "probability", counted["regions"].alias("regions"), "lowest_pair", moire.alias("moire"))

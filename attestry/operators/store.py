@@ -100,3 +100,19 @@ def recovered(runs: DataFrame) -> DataFrame:
 def stale(jobs: DataFrame, version: int) -> DataFrame:
     """Jobs graded under an older contract, to be graded anew from their raw payloads."""
     return jobs.where(F.col("check_contract_version") < version)
+
+
+def illegal_state(status: Column, created: Column, started: Column, completed: Column) -> Column:
+    """What is wrong with a run's times for its status, or with their order; null if nothing is."""
+    return (
+        F.when((status == "queued") & (started.isNotNull() | completed.isNotNull()), "queued job has been run")
+        .when((status == "running") & (started.isNull() | completed.isNotNull()), "running job needs its start only")
+        .when(status.isin("completed", "failed") & (started.isNull() | completed.isNull()), "finished job lacks a time")
+        .when(started < created, "started before it was queued")
+        .when(completed < started, "completed before it was started")
+    )
+
+
+def claimed(claims: DataFrame, key: str, worker: str, order: list[str]) -> DataFrame:
+    """(key, worker): the one worker whose claim of a queued job came first."""
+    return claims.groupBy(key).agg(F.min_by(worker, F.struct(*order)).alias(worker))

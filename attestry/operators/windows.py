@@ -31,3 +31,11 @@ def tumbling(events: DataFrame, at: str, width: str, *by: str) -> DataFrame:
     """(start, by..., n) for half-open windows [start, start + width)."""
     w = F.window(F.col(at).cast("timestamp"), width)
     return events.groupBy(w.alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), *by, "n")
+
+
+def runs(events: DataFrame, key: str, order: list[str], bad: str, least: int) -> DataFrame:
+    """(key, runs, longest): how many times, and for how long at most, ``least`` bad events or more of a key followed each other."""
+    placed = ordered.numbered(events.select(key, *order, bad), key, order, "_n").where(bad)
+    again = ordered.numbered(placed, key, order, "_m")
+    n = again.groupBy(key, (F.col("_n") - F.col("_m")).alias("_g")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return n.groupBy(key).agg(F.count("*").alias("runs"), F.max("n").alias("longest"))

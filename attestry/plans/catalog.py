@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.plans import drift_nested, evidence, grades, listings, reporting, signals, texts, time
+from attestry.plans import casework, drift_nested, evidence, grades, listings, reporting, signals, texts, time
 
-MODULES = [drift_nested, listings, reporting, evidence, texts, time, grades, signals]
+MODULES = [drift_nested, listings, reporting, evidence, texts, time, grades, signals, casework]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestry.operators import greedy, pages
+from attestry.operators import features, grading, greedy, pages, signals
 from attestry.session import table
+from attestry.sources import files
 
 #: Pixels of an A4 page at one dot per inch.
 _WIDTH, _HEIGHT = 8.27, 11.69
@@ -44,7 +45,8 @@ def merged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = hit_boxes(spark, sf_dir).withColumn("ord", F.col("hit_id"))
+    """Hits of a page grouped to lines, boxes in thousandths of the page."""
+    b = hit_boxes(spark, sf_dir).select("hit_id", "job_id", "page", *(F.round(F.col(c) * 1000, 3).alias(c) for c in ("x", "y", "width", "height")), F.col("hit_id").alias("ord"))
     return greedy.by_group(b, ["job_id", "page"], greedy.text_lines, "line bigint", F.lit(0))
 
 
@@ -100,13 +102,73 @@ def session_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dpi_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The resolutions to try for each seen one: multiples, to tens, within 150 and 900, each once in order."""
-    steps = F.array(*(F.lit(m) for m in (1.0, 1.25, 1.5, 0.75, 2.0)))
-    rung = lambda m: F.least(F.greatest(F.bround(F.col("dpi") * m / 10, 0) * 10, F.lit(150.0)), F.lit(900.0)).cast("int")
-    return table(spark, sf_dir, "qr_hits").where("dpi is not null").select("dpi").distinct().select("dpi", F.array_join(F.array_distinct(F.transform(steps, rung)).cast("array<string>"), ",").alias("ladder"))
+    """The resolutions to try for each seen one, by the effort of the search."""
+    d = table(spark, sf_dir, "qr_hits").where("dpi is not null").select("dpi").distinct()
+    return d.select("dpi", *(F.array_join(signals.dpi_ladder(F.col("dpi"), e).cast("array<string>"), ",").alias(e) for e in signals.LADDERS))
 
 
-QUERIES = {f.__name__: f for f in (per_page_alignment, hit_boxes, overlapping_hits, merged_hits, hit_lines, document_probability, decayed_probability, page_outliers, pair_summary, worst_pairing, reading_order, first_hits, session_islands, dpi_ladder)}
+def native_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resolution of each job's scans, its hits' outermost corners taken for the sizes of its images on A4 pages."""
+    corner = lambda i: F.array_max(F.transform("points", lambda q: q[i]))
+    h = _hits(spark, sf_dir).where("points is not null and size(points) >= 1").select("job_id", corner(0).alias("w"), corner(1).alias("h"))
+    return h.groupBy("job_id").agg(files.native_dpi(F.col("w"), F.col("h"), F.lit(595.0), F.lit(842.0)).alias("dpi"))
+
+
+def original_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first corner of each hit on its page as it was, if the variant that found it had turned the page."""
+    turn = F.coalesce(F.regexp_extract("variant", r"rot(0|90|180|270)", 1).try_cast("int"), F.lit(0))
+    x, y = grading.unrotated(F.col("points")[0][0], F.col("points")[0][1], turn, F.col("dpi") * _WIDTH, F.col("dpi") * _HEIGHT)
+    return _hits(spark, sf_dir).where("points is not null and size(points) >= 1").select("hit_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+def ring_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean resolution of hits by rings of 500 pixels around a page's corner."""
+    q = F.col("points")[0]
+    ring = F.floor(F.sqrt(q[0] * q[0] + q[1] * q[1]) / 500)
+    return _hits(spark, sf_dir).where("points is not null and size(points) >= 1 and dpi is not null").groupBy(ring.alias("ring")).agg(F.count("*").alias("n"), F.round(F.avg("dpi"), 6).alias("mean"))
+
+
+def covered_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits whose box others of their page cover by more than 0.18: no place for a signature."""
+    b = hit_boxes(spark, sf_dir)
+    return features.covered(b, b, ["job_id", "page"], "hit_id").where("covered > 0.18").select("hit_id", F.round("covered", 4).alias("covered"))
+
+
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engines of hits as words of a page, joined to lines by their height in steps of 4 points."""
+    q = F.col("points")[0]
+    line = F.bround(q[1] / 4, 0).cast("bigint")
+    w = _hits(spark, sf_dir).where("points is not null and size(points) >= 1 and engine is not null")
+    return w.groupBy("job_id", "page", line.alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(q[0].alias("x"), "hit_id", "engine"))), lambda e: e["engine"]), " ").alias("words"))
+
+
+def signature_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits as signatures: of each job how many, on which pages, by which methods, the surest, how many only likely; the share of a page stands for confidence."""
+    b = hit_boxes(spark, sf_dir).select("hit_id", "job_id", "page", F.least(F.round((F.col("width") + F.col("height")) * 2, 4), F.lit(1.0)).alias("confidence"))
+    m = b.join(_hits(spark, sf_dir).select("hit_id", F.split(F.concat_ws("+", "engine", "variant"), r"\+").alias("methods")), "hit_id")
+    kept = m.where("confidence >= 0.3")
+    own = kept.groupBy("job_id").agg(
+        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("page")).cast("array<string>"), ",").alias("pages"), F.max("confidence").alias("surest"), F.count_if(F.col("confidence") < 0.65).alias("only_likely"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("methods")))), ",").alias("methods"),
+    )
+    return own
+
+
+def photo_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits as photos of a job: whether all pass, and the reason of the first that does not; resolution stands for sharpness, the page for light."""
+    q = signals.photo_quality(F.col("dpi") / 4, F.col("page") * 40)
+    each = _hits(spark, sf_dir).where("dpi is not null and page is not null").select("job_id", "hit_id", q.alias("reason"))
+    return each.groupBy("job_id").agg(F.bool_and(F.col("reason") == "ok").alias("passed"), F.min_by(F.when(F.col("reason") != "ok", F.col("reason")), F.when(F.col("reason") != "ok", F.col("hit_id"))).alias("first_reason"))
+
+
+def file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits as images of a job: recaptured if one is, clean if all are, else undecided; resolutions under 250 stand for recaptures."""
+    v = F.when(F.col("dpi") < 250, "RECAPTURE").when(F.col("dpi") < 350, "INCONCLUSIVE").otherwise("CLEAN")
+    own = _hits(spark, sf_dir).where("dpi is not null").groupBy("job_id").agg(F.bool_or(v == "RECAPTURE").alias("any"), F.bool_and(v == "CLEAN").alias("all"))
+    return own.select("job_id", F.when(F.col("any"), "RECAPTURE").when(F.col("all"), "CLEAN").otherwise("INCONCLUSIVE").alias("verdict"))
+
+
+QUERIES = {f.__name__: f for f in (per_page_alignment, hit_boxes, overlapping_hits, merged_hits, hit_lines, document_probability, decayed_probability, page_outliers, pair_summary, worst_pairing, reading_order, first_hits, session_islands, dpi_ladder, native_resolutions, original_corners, ring_means, covered_boxes, page_words, signature_reports, photo_outcomes, file_verdicts)}
 
 _H = "h AS (SELECT DISTINCT ON (hit_id) * FROM qr_hits)"
 _clip = "least(greatest({}, 0.0), 1.0)"
@@ -145,5 +207,21 @@ SQL = {
         f AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1200 OR row_number() OVER (PARTITION BY user_id ORDER BY s, e) = 1 THEN 1 ELSE 0 END AS fresh FROM i),
         g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f)
         SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS n FROM g GROUP BY user_id, island""",
-    "dpi_ladder": "WITH d AS (SELECT DISTINCT dpi FROM qr_hits WHERE dpi IS NOT NULL), r AS (SELECT dpi, list_transform([1.0, 1.25, 1.5, 0.75, 2.0], lambda m: CAST(least(greatest(round_even(dpi * m / 10, 0) * 10, 150), 900) AS INTEGER)) AS l FROM d) SELECT dpi, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS ladder FROM r",
+    "dpi_ladder": "WITH d AS (SELECT DISTINCT dpi FROM qr_hits WHERE dpi IS NOT NULL) SELECT dpi, "
+    + ", ".join(f"array_to_string(list_filter(l{i}, lambda x, i: list_position(l{i}, x) = i), ',') AS {e}" for i, e in enumerate(("low", "medium", "high")))
+    + " FROM (SELECT dpi, "
+    + ", ".join(f"list_transform({m}::DOUBLE[], lambda m: CAST(least(greatest(round_even(dpi * m / 10, 0) * 10, 150), 900) AS INTEGER)) AS l{i}" for i, m in enumerate(([], [1.0, 1.2, 1.4, 1.6, 1.8], [0.8, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1.8, 2.0])))
+    + " FROM d)",
+    "native_resolutions": f"WITH {_H}, s AS (SELECT job_id, list_max(list_transform(points, lambda q: q[1])) AS w, list_max(list_transform(points, lambda q: q[2])) AS h FROM h WHERE points IS NOT NULL AND len(points) >= 1), d AS (SELECT job_id, max(CASE WHEN w > 0 AND h > 0 THEN greatest(least(w / (595.0::DOUBLE / 72), h / (842.0::DOUBLE / 72)), least(w / (842.0::DOUBLE / 72), h / (595.0::DOUBLE / 72))) END) AS best FROM s GROUP BY 1) SELECT job_id, CASE WHEN best BETWEEN 50 AND 1200 THEN CAST(round_even(best, 0) AS INTEGER) END AS dpi FROM d",
+    "original_corners": f"""WITH {_H}, c AS (SELECT hit_id, points[1][1] AS x, points[1][2] AS y, dpi * {_WIDTH}::DOUBLE AS w, dpi * {_HEIGHT}::DOUBLE AS ht, coalesce(try_cast(nullif(regexp_extract(variant, 'rot(0|90|180|270)', 1), '') AS INTEGER), 0) AS t FROM h WHERE points IS NOT NULL AND len(points) >= 1)
+        SELECT hit_id, round(CASE t WHEN 90 THEN y WHEN 180 THEN w - x WHEN 270 THEN w - y ELSE x END, 3) AS x, round(CASE t WHEN 90 THEN ht - x WHEN 180 THEN ht - y WHEN 270 THEN x ELSE y END, 3) AS y FROM c""",
+    "ring_means": f"WITH {_H} SELECT CAST(floor(sqrt(points[1][1] * points[1][1] + points[1][2] * points[1][2]) / 500) AS BIGINT) AS ring, count(*) AS n, round(avg(dpi), 6) AS mean FROM h WHERE points IS NOT NULL AND len(points) >= 1 AND dpi IS NOT NULL GROUP BY 1",
+    "covered_boxes": f"""WITH {_BOXES}, a AS (SELECT a.hit_id, a.width * a.height AS area, sum(greatest(0.0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0.0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y))) AS over
+        FROM boxes a JOIN boxes b ON a.job_id = b.job_id AND a.page = b.page AND a.hit_id <> b.hit_id GROUP BY ALL) SELECT hit_id, round(over / area, 4) AS covered FROM a WHERE over / area > 0.18""",
+    "page_words": f"WITH {_H} SELECT job_id, page, CAST(round_even(points[1][2] / 4, 0) AS BIGINT) AS line, string_agg(engine, ' ' ORDER BY points[1][1], hit_id) AS words FROM h WHERE points IS NOT NULL AND len(points) >= 1 AND engine IS NOT NULL GROUP BY 1, 2, 3",
+    "signature_reports": f"""WITH {_BOXES}, m AS (SELECT b.*, least(round((b.width + b.height) * 2, 4), 1.0) AS confidence, string_split(concat_ws('+', h.engine, h.variant), '+') AS methods FROM boxes b JOIN h USING (hit_id)), k AS (SELECT * FROM m WHERE confidence >= 0.3),
+        s AS (SELECT job_id, string_agg(method, ',' ORDER BY method) AS methods FROM (SELECT DISTINCT job_id, unnest(methods) AS method FROM k) GROUP BY 1), p AS (SELECT job_id, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages FROM (SELECT DISTINCT job_id, page FROM k WHERE page IS NOT NULL) GROUP BY 1)
+        SELECT k.job_id, count(*) AS n, any_value(coalesce(p.pages, '')) AS pages, max(confidence) AS surest, count_if(confidence < 0.65) AS only_likely, any_value(s.methods) AS methods FROM k JOIN s USING (job_id) LEFT JOIN p USING (job_id) GROUP BY 1""",
+    "photo_outcomes": f"WITH {_H}, r AS (SELECT job_id, hit_id, CASE WHEN dpi / 4.0 < 80 THEN 'image_too_blurry' WHEN NOT (page * 40 > 35 AND page * 40 < 225) THEN 'bad_lighting' ELSE 'ok' END AS reason FROM h WHERE dpi IS NOT NULL AND page IS NOT NULL) SELECT job_id, bool_and(reason = 'ok') AS passed, arg_min(reason, hit_id) FILTER (reason <> 'ok') AS first_reason FROM r GROUP BY 1",
+    "file_verdicts": f"WITH {_H} SELECT job_id, CASE WHEN bool_or(dpi < 250) THEN 'RECAPTURE' WHEN bool_and(dpi >= 350) THEN 'CLEAN' ELSE 'INCONCLUSIVE' END AS verdict FROM h WHERE dpi IS NOT NULL GROUP BY 1",
 }

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.operators import reports, store
+from attestry.operators import grading, ordered, reports, store
 from attestry.session import table
 
 NOW = datetime(2026, 7, 1)
@@ -32,16 +32,25 @@ def turnaround(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.turnaround(j, "batch_id", "s")
 
 
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.outcomes(reports.results_of(table(spark, sf_dir, "jobs").select("id", "payload_json")))
+
+
+def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_id, verdict, authenticity, failed, ran) of every job."""
+    j = store.jobs(spark, sf_dir).select("id", "status")
+    marked = reports.cases(table(spark, sf_dir, "jobs").select("id", "payload_json")).select("id", "unanalyzable")
+    return reports.verdicts(j.join(marked, "id"), outcomes(spark, sf_dir))
+
+
 def flag_reasons_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five analyzers with most results to review."""
-    found = reports.results_of(table(spark, sf_dir, "jobs").dropDuplicates(["id"]).select("id", "payload_json"))
-    n = found.where(F.try_variant_get("result", "$.outcome", "string") == "review").groupBy("analyzer_id").agg(F.count("*").alias("flags"))
+    n = outcomes(spark, sf_dir).where("outcome = 'review'").groupBy("analyzer_id").agg(F.count("*").alias("flags"))
     return n.orderBy(F.desc("flags"), "analyzer_id").limit(5)
 
 
 def machine_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = table(spark, sf_dir, "jobs").dropDuplicates(["id"]).select("id", "status", "payload_json")
-    return reports.verdicts(j.select("id", "status"), reports.results_of(j.select("id", "payload_json")))
+    return verdict_rows(spark, sf_dir).select("job_id", "verdict", "authenticity")
 
 
 def verdict_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +70,14 @@ def decisions_by_reviewer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged_three_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches by three readings of flagged: as stored, of completed jobs, and undecided."""
-    decided = table(spark, sf_dir, "reviews").select("job_id").distinct().withColumn("decided", F.lit(True))
-    j = store.jobs(spark, sf_dir).where("batch_id is not null").join(decided, F.col("id") == F.col("job_id"), "left")
-    flag, done = F.col("flagged") == 1, F.col("status") == "completed"
-    return j.groupBy("batch_id").agg(F.count_if(flag).alias("stored"), F.count_if(flag & done).alias("completed"), F.count_if(flag & done & F.col("decided").isNull()).alias("undecided"))
+    """Batches by three readings of flagged: a result to review or failed, whatever the job's state; the document's verdict; the status of its checks. Documents marked unanalyzable are none."""
+    marked = reports.cases(table(spark, sf_dir, "jobs").select("id", "payload_json")).select("id", "unanalyzable")
+    checked = F.coalesce("checked", F.create_map(*(F.lit(x) for x in ("review", "fail", "error", "error", "clear", "pass")))[F.col("outcome")])
+    n = outcomes(spark, sf_dir).groupBy(F.col("job_id").alias("id")).agg(F.bool_or(F.col("outcome").isin("review", "error")).alias("outcomes"), F.bool_or(checked.isin("fail", "error")).alias("checks"))
+    shown = verdict_rows(spark, sf_dir).select(F.col("job_id").alias("id"), F.col("verdict").isin("review", "error").alias("shown"))
+    j = store.jobs(spark, sf_dir).where("batch_id is not null").select("id", "batch_id").join(marked, "id").join(n, "id", "left").join(shown, "id")
+    able = ~F.col("unanalyzable")
+    return j.groupBy("batch_id").agg(F.count_if(able & F.col("outcomes")).alias("by_outcome"), F.count_if("shown").alias("by_verdict"), F.count_if(able & F.col("checks")).alias("by_check"))
 
 
 def facts_by_source_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +88,7 @@ def facts_by_source_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unknown_analyzers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyzers that facts name and the service's catalogue lacks."""
-    known = ["metadata", "font_analysis", "signature", "photo_detection", "qr_presence", "tamper_scan", "moire", "same_phone"]
-    return table(spark, sf_dir, "facts").select("analyzer_id").distinct().where(~F.col("analyzer_id").isin(known))
+    return table(spark, sf_dir, "facts").select("analyzer_id").distinct().where(~F.col("analyzer_id").isin(grading.ANALYZERS))
 
 
 def numeric_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +103,7 @@ def numeric_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs that completed more than a week after they came in, with the running number of such jobs of their batch."""
     late = store.jobs(spark, sf_dir).where((reports.seconds("created_at", "completed_at") > 7 * 86400) & F.col("batch_id").isNotNull())
-    return late.select("batch_id", "id", F.row_number().over(Window.partitionBy("batch_id").orderBy("completed_at", "id")).alias("n"))
+    return ordered.numbered(late.select("batch_id", "id", "completed_at"), "batch_id", ["completed_at", "id"]).select("batch_id", "id", "n")
 
 
 def stale_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +125,15 @@ RESULTS = """
       FROM (SELECT id, unnest(json_extract(doc, '$.results[*]')) AS e FROM w WHERE json_type(doc, '$.results') = 'ARRAY')
     )
 """
-VERDICTS = RESULTS + """,
-    g AS (SELECT id, count(*) AS graded, count_if(o = 'review') AS review, count_if(o = 'error') AS error, count_if(o = 'clear') AS clear FROM (SELECT id, json_extract_string(result, '$.outcome') AS o FROM r) WHERE o <> 'info' GROUP BY 1),
-    verdicts AS (SELECT w.id AS job_id, CASE WHEN w.status <> 'completed' THEN 'pending' WHEN coalesce(g.graded, 0) = 0 THEN 'inconclusive' WHEN g.review > 0 THEN 'review' WHEN g.error > 0 THEN 'error' WHEN g.clear = g.graded THEN 'clear' ELSE 'inconclusive' END AS verdict,
-      CAST(round_even(100.0 * g.clear / nullif(g.graded, 0), 0) AS INTEGER) AS authenticity FROM w LEFT JOIN g USING (id))
+#: Results with their outcome and the status of their check, JSON text or not.
+OUTCOMES = RESULTS + """,
+    o AS (SELECT id, analyzer_id, json_extract_string(result, '$.outcome') AS outcome, coalesce(json_extract_string(result, '$.check.status'), CASE WHEN json_valid(json_extract_string(result, '$.check')) THEN json_extract_string(json_extract_string(result, '$.check'), '$.status') END) AS checked FROM r),
+    c AS (SELECT id, status, doc, coalesce(json_extract_string(doc, '$.unanalyzable') = 'true', false) AS unanalyzable FROM w)
+"""
+VERDICTS = OUTCOMES + """,
+    g AS (SELECT id, count_if(outcome <> 'info') AS graded, count_if(outcome = 'review') AS review, count_if(outcome = 'error') AS error, count_if(outcome = 'clear') AS clear, count(*) AS ran FROM o GROUP BY 1),
+    verdicts AS (SELECT c.id AS job_id, CASE WHEN c.unanalyzable THEN 'unanalyzable' WHEN c.status <> 'completed' THEN 'pending' WHEN coalesce(g.graded, 0) = 0 THEN 'inconclusive' WHEN g.review > 0 THEN 'review' WHEN g.error > 0 THEN 'error' WHEN g.clear = g.graded THEN 'clear' ELSE 'inconclusive' END AS verdict,
+      CAST(round_even(100.0 * g.clear / nullif(g.graded, 0), 0) AS INTEGER) AS authenticity, coalesce(g.review + g.error, 0) AS failed, coalesce(g.ran, 0) AS ran FROM c LEFT JOIN g USING (id))
 """
 _S = "(epoch_us(completed_at) - epoch_us({}_at)) / 1e6"
 
@@ -130,21 +146,23 @@ SQL = {
     "volume_buckets": f"WITH j AS ({_JOBS}) SELECT CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at)) / 2592000000000) AS INTEGER) AS bucket, count(*) AS n FROM j WHERE created_at <= TIMESTAMP '{NOW}' GROUP BY 1 HAVING bucket BETWEEN 0 AND 9",
     "turnaround": f"WITH j AS ({_JOBS}), m AS (SELECT batch_id, coalesce(avg({_S.format('started')}), 0) AS mean FROM j WHERE batch_id IS NOT NULL GROUP BY 1) SELECT count(*) AS jobs, round(avg(mean), 4) AS average FROM m",
     "flag_reasons_top5": RESULTS + "SELECT analyzer_id, count(*) AS flags FROM r WHERE json_extract_string(result, '$.outcome') = 'review' GROUP BY 1 ORDER BY flags DESC, analyzer_id LIMIT 5",
-    "machine_verdicts": VERDICTS + "SELECT * FROM verdicts",
+    "machine_verdicts": VERDICTS + "SELECT job_id, verdict, authenticity FROM verdicts",
     "verdict_histogram": VERDICTS + "SELECT verdict, count(*) AS jobs, round(avg(authenticity), 4) AS authenticity FROM verdicts GROUP BY 1",
     "flag_agreement": f"""
         WITH j AS ({_JOBS}), r AS ({LATEST}), b AS (SELECT coalesce(j.flagged = 1, false) AS p, coalesce(r.decision IN ('needs_investigation', 'escalated'), false) AS a FROM j JOIN r ON r.job_id = j.id),
         c AS (SELECT count_if(p AND a) AS tp, count_if(p AND NOT a) AS fp, count_if(NOT p AND a) AS fn, count_if(NOT p AND NOT a) AS tn FROM b)
         SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c""",
     "decisions_by_reviewer": "SELECT reviewer, count_if(decision = 'verified') AS verified, count_if(decision = 'needs_investigation') AS needs_investigation, count_if(decision = 'escalated') AS escalated, count_if(decision = 'inconclusive') AS inconclusive, max(reviewed_at) AS last_reviewed_at FROM reviews GROUP BY 1",
-    "flagged_three_ways": f"WITH j AS ({_JOBS}), d AS (SELECT DISTINCT job_id FROM reviews) SELECT j.batch_id, count_if(flagged = 1) AS stored, count_if(flagged = 1 AND status = 'completed') AS completed, count_if(flagged = 1 AND status = 'completed' AND d.job_id IS NULL) AS undecided FROM j LEFT JOIN d ON d.job_id = j.id WHERE j.batch_id IS NOT NULL GROUP BY 1",
+    "flagged_three_ways": VERDICTS
+    + """, n AS (SELECT id, bool_or(outcome IN ('review', 'error')) AS outcomes, bool_or(coalesce(checked, CASE outcome WHEN 'review' THEN 'fail' WHEN 'error' THEN 'error' WHEN 'clear' THEN 'pass' END) IN ('fail', 'error')) AS checks FROM o GROUP BY 1), j AS (SELECT DISTINCT id, batch_id FROM jobs WHERE batch_id IS NOT NULL)
+        SELECT j.batch_id, count_if(NOT c.unanalyzable AND n.outcomes) AS by_outcome, count_if(v.verdict IN ('review', 'error')) AS by_verdict, count_if(NOT c.unanalyzable AND n.checks) AS by_check FROM j JOIN c USING (id) LEFT JOIN n USING (id) JOIN verdicts v ON v.job_id = j.id GROUP BY 1""",
     "facts_by_source_label": "SELECT source, label, count(*) AS facts, count_if(coalesce(trim(value, ' ') = '', true)) AS blank, count(DISTINCT job_id) AS jobs, CAST(max(length(value)) AS INTEGER) AS longest FROM facts GROUP BY 1, 2",
-    "unknown_analyzers": "SELECT DISTINCT analyzer_id FROM facts WHERE analyzer_id NOT IN ('metadata', 'font_analysis', 'signature', 'photo_detection', 'qr_presence', 'tamper_scan', 'moire', 'same_phone')",
+    "unknown_analyzers": "SELECT DISTINCT analyzer_id FROM facts WHERE analyzer_id NOT IN ('metadata', 'font_analysis', 'signature', 'photo_detection', 'qr_presence', 'tamper_scan', 'moire', 'same_phone', 'readability')",
     "numeric_facts": """
         WITH n AS (SELECT label, CASE WHEN regexp_matches(trim(value, ' '), '^-?\\d+(\\.\\d+)?\\s*%$') THEN CAST(regexp_extract(value, '-?\\d+(\\.\\d+)?') AS DOUBLE) / 100
           WHEN regexp_matches(trim(value, ' '), '^-?\\d+(\\.\\d+)?\\s*/\\s*100$') THEN CAST(regexp_extract(value, '-?\\d+(\\.\\d+)?') AS DOUBLE)
           WHEN regexp_matches(trim(value, ' '), '^-?\\d+(\\.\\d+)?$') THEN CAST(trim(value, ' ') AS DOUBLE) END AS x FROM facts WHERE value IS NOT NULL)
         SELECT label, count(x) AS numbers, round(sum(x), 3) AS total, count_if(x IS NULL) AS texts FROM n GROUP BY 1""",
-    "late_completions": f"WITH j AS ({_JOBS}) SELECT batch_id, id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY completed_at, id) AS INTEGER) AS n FROM j WHERE {_S.format('created')} > 604800 AND batch_id IS NOT NULL",
+    "late_completions": f"WITH j AS ({_JOBS}) SELECT batch_id, id, row_number() OVER (PARTITION BY batch_id ORDER BY completed_at, id) AS n FROM j WHERE {_S.format('created')} > 604800 AND batch_id IS NOT NULL",
     "stale_contracts": f"WITH j AS ({_JOBS}) SELECT check_contract_version, status, count(*) AS jobs FROM j WHERE check_contract_version < 3 GROUP BY 1, 2",
 }

@@ -7,14 +7,24 @@ import html
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.operators import ordered, reports
+
 #: Fixed value: the columns of a batch's CSV.
-BATCH_COLUMNS = ["id", "filename", "sha256", "status", "created_at", "started_at", "completed_at", "batch_position", "flagged", "verdict", "authenticity", "decision", "reviewer", "notes"]
+BATCH_COLUMNS = ["document", "case_id", "sha256", "screening_test", "machine_verdict", "reviewer_decision", "reviewer", "assigned_to", "flagged_checks", "checks_run", "reviewed_at", "notes", "app_version", "detectors_version"]
+APP_VERSION = DETECTORS_VERSION = "0.2"
 
 
-def batch_rows(jobs: DataFrame, verdicts: DataFrame, reviews: DataFrame) -> DataFrame:
-    """A row for each document of a batch, in its order, with its verdict and its latest review."""
-    joined = jobs.join(verdicts.withColumnRenamed("job_id", "id"), "id", "left").join(reviews.withColumnRenamed("job_id", "id"), "id", "left")
-    return joined.select(*BATCH_COLUMNS).orderBy("batch_position", "id")
+def batch_rows(jobs: DataFrame, cases: DataFrame, verdicts: DataFrame, outcomes: DataFrame, reviews: DataFrame) -> DataFrame:
+    """A row for each document: the columns of the CSV, and batch_id and batch_position before them."""
+    flagged = outcomes.where("outcome in ('review', 'error')").groupBy("job_id").agg(F.array_join(F.array_sort(F.collect_list("analyzer_id")), "; ").alias("flagged_checks"))
+    by_job = lambda df: df.withColumnRenamed("job_id", "id")
+    joined = jobs.join(cases.select("id", "profile"), "id", "left").join(by_job(verdicts), "id", "left").join(by_job(flagged), "id", "left").join(by_job(reviews), "id", "left")
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return joined.select(
+        "batch_id", "batch_position", F.col("filename").alias("document"), F.col("id").alias("case_id"), blank("sha256").alias("sha256"), blank("profile").alias("screening_test"), reports.verdict_label(F.col("verdict")).alias("machine_verdict"),
+        reports.decision_label(F.col("decision")).alias("reviewer_decision"), blank("reviewer").alias("reviewer"), blank("assigned_to").alias("assigned_to"), blank("flagged_checks").alias("flagged_checks"), F.col("ran").alias("checks_run"),
+        blank("reviewed_at").alias("reviewed_at"), F.regexp_replace(blank("notes"), r"\r\n|\n", " ").alias("notes"), F.lit(APP_VERSION).alias("app_version"), F.lit(DETECTORS_VERSION).alias("detectors_version"),
+    )
 
 
 def batch_csv(rows: DataFrame, path: str) -> None:
@@ -28,13 +38,35 @@ def case_json(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("report"))
 
 
-def batch_html(rows: DataFrame, title: str, most: int = 50) -> str:
-    """A table of one batch's rows (a batch has at most ``most`` documents) as HTML, everything escaped."""
-    found = rows.limit(most).collect()
-    cell = lambda v: html.escape("—" if v is None else str(v), quote=True)
-    head = "".join(f"<th>{cell(c)}</th>" for c in rows.columns)
-    body = "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in row) + "</tr>" for row in found)
-    return f"<!doctype html><meta charset=utf-8><title>{cell(title)}</title><table><tr>{head}</tr>{body}</table>"
+def batch_html(rows: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """``(position, html)``: a table of all rows as HTML, everything escaped, a line a row."""
+    def cell(c):
+        text = F.coalesce(c.cast("string"), F.lit("—"))
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            text = F.replace(text, F.lit(sign), F.lit(name))
+        return F.concat(F.lit("<td>"), text, F.lit("</td>"))
+
+    body = ordered.numbered(rows.withColumn("_one", F.lit(1)), "_one", order, "position").select("position", F.concat(F.lit("<tr>"), *(cell(F.col(c)) for c in rows.columns), F.lit("</tr>")).alias("html"))
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in rows.columns)
+    ends = rows.sparkSession.createDataFrame([(0, f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><table><tr>{head}</tr>"), (1 << 62, "</table>")], "position long, html string")
+    return body.unionByName(ends)
+
+
+def write_html(lines: DataFrame, path: str) -> None:
+    """The lines of :func:`batch_html` as text files that follow each other by name."""
+    lines.repartitionByRange("position").sortWithinPartitions("position").select("html").write.mode("overwrite").text(path)
+
+
+def write_manifest(rows: DataFrame, columns: list[str], path: str) -> None:
+    """A stable projection of results, to be compared with :func:`manifest_difference` later."""
+    rows.select(*columns).write.mode("overwrite").json(path)
+
+
+def write_tables(tables: dict[str, DataFrame], path: str, formats: tuple[str, ...] = ("csv", "json")) -> None:
+    """Each table under its name, as CSV with a header and as JSON lines."""
+    for name, df in tables.items():
+        for kind in formats:
+            df.write.mode("overwrite").options(header="true").format(kind).save(f"{path}/{name}.{kind}")
 
 
 def shard(key: Column) -> Column:

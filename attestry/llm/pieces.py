@@ -95,9 +95,9 @@ def _marked(documents: DataFrame, keep: list[str], text: str, vocabulary: str, l
 
 def spans(n: Column, blocks: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
     """The pieces of a text of ``n`` tokens as an array of structs (start, stop) of token positions."""
-    least = max(limit // 2, overlap + 1)
-    # Each alternative consumes up to the limit; the last resort is any end of a character.
-    pattern = "|".join([*(f"^.{{{least - 1},{limit - 1}}}{kind}" for kind in "plsw"), f"^.{{{overlap},{limit - 1}}}[^x]", f"^.{{1,{limit}}}"])
+    least, short = max(limit // 2, overlap + 1), min(overlap + overlap // 2 + 1, limit)
+    # Each alternative consumes up to the limit, half of it at least; then what boundaries lie before that, behind the overlap; the last resort is any end of a character.
+    pattern = "|".join([*(f"^.{{{start - 1},{limit - 1}}}{kind}" for start in (least, short) for kind in "plsw"), f"^.{{{overlap},{limit - 1}}}[^x]", f"^.{{1,{limit}}}"])
     # The overlap begins at a word if one begins soon, else at a character.
     start_pattern = f"^.{{0,{overlap // 4}}}?[plsw]|^.*?[^x]"
 
@@ -119,7 +119,7 @@ def spans(n: Column, blocks: Column, limit: int = LIMIT, overlap: int = OVERLAP)
         return F.when(start >= n, state).otherwise(ahead)
 
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,stop:int>>")
-    steps = F.sequence(F.lit(1), F.ceil(n / (least - overlap)).cast("int") + 1)
+    steps = F.sequence(F.lit(1), F.ceil(n / max(1, short - overlap)).cast("int") + 1)
     return F.aggregate(steps, F.struct(F.lit(0).alias("start"), empty.alias("pieces")), step, lambda s: s["pieces"])
 
 

@@ -118,3 +118,26 @@ def test_packed_table(spark):
     assert packing.packed(df.limit(0)).collect() == []
     told = packing.fill(packing.packed(df)).first()
     assert (told.items, told.containers) == (len(rows), len(sizes)) and told.tokens == sum(sizes.values()) and told.least <= told.containers
+
+
+def test_pairs_whose_order_counts():
+    ranks = tokens.load_ranks(tokens.VOCABULARY)
+    risky = [(t[:i], t[i:]) for t, r in ranks.items() for i in range(1, len(t)) if ranks.get(t + t[:i], r) < r and t[:i] in ranks and t[i:] in ranks]
+    assert len(risky) > 20
+    r, words = random.Random(9), set()
+    for a, b in risky:
+        for _ in range(12):
+            word = b"".join(r.choice([a, b, a + b, b[:1]]) for _ in range(r.randint(2, 7))).decode("utf-8", "ignore")
+            words |= {w for w in tokens.regex.findall(tokens.PATTERN, word) if w}
+    encoder = tokens.Encoder.of(tokens.VOCABULARY)
+    words = sorted(words)
+    assert [w.tolist() for w in encoder.words(words)] == [PLAIN.encode_ordinary(w) for w in words]
+
+
+def test_a_boundary_before_a_long_unbroken_run_is_taken(spark):
+    r = random.Random(3)
+    head, run = "word " * 150 + "\n\n", "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(700))
+    rows = pieces.split(spark.createDataFrame([(1, head + run + " tail" * 60)], "doc_id long, text string"), ["doc_id"]).orderBy("piece").collect()
+    assert len(PLAIN.encode_ordinary(run)) > 320 and rows[0].text == head
+    whole = "".join(r.text[(rows[i - 1].end_char - r.start_char) if i else 0 :] for i, r in enumerate(rows))
+    assert whole == head + run + " tail" * 60 and all(r.n_tokens <= 512 for r in rows)

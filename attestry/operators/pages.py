@@ -87,6 +87,34 @@ def merged_intervals(rows: DataFrame, key: str, start: str, end: str, gap: float
     return island.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 
+#: How a decoder turns a page and alters its picture.
+ROTATIONS, VARIANTS = [0, 90, 180, 270], ["gray", "sharp", "threshold", "inverted"]
+
+
+def decode_passes(pages: DataFrame, key: str, page: str, ladder: Column, most: int = 0) -> DataFrame:
+    """(key, page, dpi, rotation, variant): every pass of a decoder over pages, the first ``most`` of each document (0: all), by the resolutions of ``ladder``."""
+    kept = pages.where(F.col(page) <= most) if most else pages
+    rows = kept.select(key, page, F.explode(ladder).alias("dpi"))
+    turned = rows.select("*", F.explode(F.array(*(F.lit(r) for r in ROTATIONS))).alias("rotation"))
+    return turned.select("*", F.explode(F.array(*(F.lit(v) for v in VARIANTS))).alias("variant"))
+
+
+def united(generators: list, context: DataFrame) -> DataFrame:
+    """The rows of several detectors over one table, each a function of it; a detector that cannot be planned stops no other.
+
+    Rows say in ``detector`` whose they are; of what failed a row says why in ``failure``.
+    """
+    out = None
+    for f in generators:
+        try:
+            rows = f(context).withColumn("detector", F.lit(f.__name__)).withColumn("failure", F.lit(None).cast("string"))
+            rows.schema  # noqa: B018 - analyses the plan
+        except Exception as e:  # noqa: BLE001
+            rows = context.sparkSession.createDataFrame([(f.__name__, f"{type(e).__name__}: {e}"[:400])], "detector string, failure string")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
 #: Readings of recaptured images, the worst first.
 MOIRE_RANK = ["RECAPTURE", "INCONCLUSIVE", "CLEAN"]
 _VALUES = "array<struct<page:bigint,measure:string,number:double,text:string>>"

@@ -168,7 +168,21 @@ def file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("job_id", F.when(F.col("any"), "RECAPTURE").when(F.col("all"), "CLEAN").otherwise("INCONCLUSIVE").alias("verdict"))
 
 
-QUERIES = {f.__name__: f for f in (per_page_alignment, hit_boxes, overlapping_hits, merged_hits, hit_lines, document_probability, decayed_probability, page_outliers, pair_summary, worst_pairing, reading_order, first_hits, session_islands, dpi_ladder, native_resolutions, original_corners, ring_means, covered_boxes, page_words, signature_reports, photo_outcomes, file_verdicts)}
+def decode_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many passes a decoder makes over the pages of each job at medium effort, its hits' highest resolution taken for its scan's."""
+    d = _hits(spark, sf_dir).where("page is not null and dpi is not null").groupBy("job_id", "page").agg(F.max("dpi").alias("native"))
+    return pages.decode_passes(d, "job_id", "page", signals.dpi_ladder(F.col("native"), "medium")).groupBy("job_id").agg(F.count("*").alias("passes"), F.max("dpi").alias("highest"))
+
+
+def distinct_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops of each job once, however many pages show them, and the runs' totals: hits, crops, jobs without any."""
+    h = _hits(spark, sf_dir)
+    crops = h.where("crop_path is not null").dropDuplicates(["job_id", "crop_path"]).groupBy("job_id").agg(F.count("*").alias("crops"))
+    own = h.groupBy("job_id").agg(F.count("*").alias("hits")).join(crops, "job_id", "left")
+    return own.agg(F.count("*").alias("jobs"), F.sum("hits").alias("hits"), F.sum("crops").alias("crops"), F.count_if(F.col("crops").isNull()).alias("without"))
+
+
+QUERIES = {f.__name__: f for f in (per_page_alignment, hit_boxes, overlapping_hits, merged_hits, hit_lines, document_probability, decayed_probability, page_outliers, pair_summary, worst_pairing, reading_order, first_hits, session_islands, dpi_ladder, native_resolutions, original_corners, ring_means, covered_boxes, page_words, signature_reports, photo_outcomes, file_verdicts, decode_passes, distinct_images)}
 
 _H = "h AS (SELECT DISTINCT ON (hit_id) * FROM qr_hits)"
 _clip = "least(greatest({}, 0.0), 1.0)"
@@ -224,4 +238,7 @@ SQL = {
         SELECT k.job_id, count(*) AS n, any_value(coalesce(p.pages, '')) AS pages, max(confidence) AS surest, count_if(confidence < 0.65) AS only_likely, any_value(s.methods) AS methods FROM k JOIN s USING (job_id) LEFT JOIN p USING (job_id) GROUP BY 1""",
     "photo_outcomes": f"WITH {_H}, r AS (SELECT job_id, hit_id, CASE WHEN dpi / 4.0 < 80 THEN 'image_too_blurry' WHEN NOT (page * 40 > 35 AND page * 40 < 225) THEN 'bad_lighting' ELSE 'ok' END AS reason FROM h WHERE dpi IS NOT NULL AND page IS NOT NULL) SELECT job_id, bool_and(reason = 'ok') AS passed, arg_min(reason, hit_id) FILTER (reason <> 'ok') AS first_reason FROM r GROUP BY 1",
     "file_verdicts": f"WITH {_H} SELECT job_id, CASE WHEN bool_or(dpi < 250) THEN 'RECAPTURE' WHEN bool_and(dpi >= 350) THEN 'CLEAN' ELSE 'INCONCLUSIVE' END AS verdict FROM h WHERE dpi IS NOT NULL GROUP BY 1",
+    "decode_passes": f"""WITH {_H}, d AS (SELECT job_id, page, max(dpi) AS native FROM h WHERE page IS NOT NULL AND dpi IS NOT NULL GROUP BY 1, 2), l AS (SELECT job_id, page, unnest(list_distinct(list_transform([1.0, 1.2, 1.4, 1.6, 1.8]::DOUBLE[], lambda m: CAST(least(greatest(round_even(native * m / 10, 0) * 10, 150), 900) AS INTEGER)))) AS dpi FROM d)
+        SELECT job_id, count(*) * 16 AS passes, max(dpi) AS highest FROM l GROUP BY 1""",
+    "distinct_images": f"WITH {_H}, o AS (SELECT job_id, count(*) AS hits, nullif(count(DISTINCT crop_path), 0) AS crops FROM h GROUP BY 1) SELECT count(*) AS jobs, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(crops) AS BIGINT) AS crops, count_if(crops IS NULL) AS without FROM o",
 }

@@ -32,6 +32,15 @@ def check_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.once(graded).groupBy("analyzer_id", "criterion", "reason", "facts", "summary").agg(F.count("*").alias("results"))
 
 
+def regraded_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of jobs under an older contract graded anew from their stored payloads: the status that was stored, and the one now."""
+    held = reports.results_of(table(spark, sf_dir, "jobs").where("check_contract_version < 3").select("id", "payload_json"))
+    raw = F.try_variant_get("result", "$.raw", "variant")
+    rows = held.select("job_id", "pos", "analyzer_id", F.try_variant_get("result", "$.check.status", "string").alias("was"), raw.alias("raw")).where("raw is not null and not is_variant_null(raw)")
+    now = reports.once(grading.normalized(rows).select("job_id", "pos", "analyzer_id", "was", "status"))
+    return now.groupBy("analyzer_id", "was", F.col("status").alias("now")).agg(F.count("*").alias("results"))
+
+
 def payload_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What else raw payloads state, by analyzer, key and value."""
     rows = grading.evidence(raws(spark, sf_dir)).select("job_id", "analyzer_id", "key", "value").distinct()
@@ -72,7 +81,7 @@ def face_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("label").agg(F.count("*").alias("jobs"))
 
 
-QUERIES = {f.__name__: f for f in (graded_results, check_bodies, payload_evidence, regraded_tamper, batch_report_rows, manifest_difference, storage_places, face_groups)}
+QUERIES = {f.__name__: f for f in (graded_results, check_bodies, regraded_checks, payload_evidence, regraded_tamper, batch_report_rows, manifest_difference, storage_places, face_groups)}
 
 #: The rules over what stored payloads hold: a status, the effort of the search, pages, a threshold.
 _GRADED = RESULTS + """,
@@ -93,6 +102,8 @@ SQL = {
         CASE WHEN broken OR analyzer_id IN ('metadata', 'photo_detection', 'tamper_scan', 'same_phone') THEN '' WHEN analyzer_id = 'font_analysis' THEN 'Embedded fonts=0; Embedded font objects=0' WHEN analyzer_id = 'signature' THEN 'Signatures found=0; Required=1'
           WHEN analyzer_id = 'qr_presence' THEN 'QR codes found=0; Required=1' || CASE WHEN effort = '' THEN '' ELSE '; Search effort=' || upper(left(effort, 1)) || substr(effort, 2) END WHEN analyzer_id = 'moire' THEN 'Images analysed=0' ELSE 'Failed sub-tests=None' END AS facts,
         CASE WHEN broken THEN 'Analyzer failed' WHEN analyzer_id = 'font_analysis' THEN 'No embedded fonts' WHEN analyzer_id = 'photo_detection' THEN 'No document photo detected' WHEN status = 'inconclusive' THEN 'Analysis inconclusive' ELSE 'Analysis completed' END AS summary, count(*) AS results FROM graded GROUP BY ALL""",
+    "regraded_checks": _GRADED.replace("SELECT id, analyzer_id, json_extract(result, '$.raw') AS raw FROM r", "SELECT id, analyzer_id, result, json_extract(result, '$.raw') AS raw FROM r").replace("WITH p AS (SELECT DISTINCT id, status, payload_json FROM jobs)", "WITH p AS (SELECT DISTINCT id, status, payload_json FROM jobs WHERE check_contract_version < 3)")
+    + "SELECT analyzer_id, json_extract_string(result, '$.check.status') AS was, status AS now, count(*) AS results FROM graded GROUP BY 1, 2, 3",
     "payload_evidence": RESULTS
     + """, x AS (SELECT DISTINCT id, analyzer_id, json_extract(result, '$.raw') AS raw FROM r WHERE json_type(result, '$.raw') = 'OBJECT'), k AS (SELECT id, analyzer_id, raw, unnest(json_keys(raw)) AS key FROM x),
         e AS (SELECT DISTINCT id, analyzer_id, key, json_extract_string(raw, '$.' || key) AS value FROM k WHERE key NOT IN ('status', 'pages') AND json_type(raw, '$.' || key) IN ('VARCHAR', 'DOUBLE', 'BIGINT', 'UBIGINT', 'BOOLEAN'))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -39,6 +40,7 @@ def ship(spark: SparkSession) -> None:
     package = os.path.dirname(os.path.abspath(__file__))
     if os.path.isdir(package):  # else it came as an archive itself
         folder = tempfile.mkdtemp(prefix="attestry-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         archive = shutil.make_archive(os.path.join(folder, f"attestry-{uuid.uuid4().hex}"), "zip", os.path.dirname(package), os.path.basename(package))
         spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
@@ -77,7 +79,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    Unlike a cache the table survives the loss of any executor.
+    Unlike a cache the table survives the loss of any executor. It goes when
+    the application ends, if nothing has dropped it before.
     """
     return written_at(df, label)[0]
 
@@ -86,9 +89,16 @@ def written_at(df: DataFrame, label: str = "stage") -> tuple[DataFrame, str]:
     """As :func:`written`, with the table's place, for :func:`dropped`."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    passing(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Let a table or folder go when the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Delete tables made by :func:`written_at` that are no longer read."""
     jvm = spark.sparkContext._jvm

@@ -384,3 +384,16 @@ def test_groups_of_one_and_more(spark):
     out = greedy.by_group(df, ["k"], greedy.merge_boxes, "merged bigint", F.lit(1))
     assert {(r.k, r.ord, r.merged) for r in out.collect()} == {("a", 0, 1), ("b", 1, 2), (None, 3, 1)}
     assert greedy.by_group(df.limit(0), ["k"], greedy.distinct_faces).collect() == []
+
+
+def test_detectors_and_passes(spark):
+    def good(df):
+        return df.select("job", F.lit(0.5).alias("confidence"))
+
+    def broken(df):
+        return df.select("nowhere")
+
+    rows = pages.united([good, broken], spark.createDataFrame([("a",), ("b",)], "job string")).collect()
+    assert sorted((r.detector, r.job, r.failure is None) for r in rows if r.job) == [("good", "a", True), ("good", "b", True)] and [r.detector for r in rows if r.failure] == ["broken"]
+    p = spark.createDataFrame([("j", 1), ("j", 2)], "job string, page int")
+    assert pages.decode_passes(p, "job", "page", F.array(F.lit(200), F.lit(300)), most=1).count() == 2 * 4 * 4

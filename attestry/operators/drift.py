@@ -165,25 +165,27 @@ def _renames(flat: DataFrame, changes: DataFrame, files: DataFrame) -> DataFrame
     """``(site, stream, idx, old_path, new_path)``: renames by the matching over admissible candidates."""
     both = lambda kind, p: changes.where(F.col("kind") == kind).select("site", "stream", "idx", "parent", F.col("path").alias(f"{p}_path"), F.col("types").alias(f"{p}_types"))
     place = ["site", "stream", "idx", "parent"]
-    candidates = both("removed", "old").alias("o").join(both("added", "new").alias("n"), _same("o", "n", place)).select("o.*", "n.new_path", "n.new_types")
+    # Written first, as they are small: their size is known, and the fields meet them without a shuffle.
+    candidates = written(both("removed", "old").alias("o").join(both("added", "new").alias("n"), _same("o", "n", place)).select("o.*", "n.new_path", "n.new_types"), "candidates")
+    changed = written(candidates.select("site", "stream", "idx").distinct(), "changed")
     placed = flat.alias("r").join(files.alias("f"), _same("r", "f", FILE)).select("r.site", "r.stream", "f.idx", "r.record_key", "r.path", "r.value")
 
     def values(side: str, shift: int) -> DataFrame:
-        wanted = candidates.select("site", "stream", "idx", F.col(f"{side}_path").alias("path")).distinct()
+        wanted = written(candidates.select("site", "stream", "idx", F.col(f"{side}_path").alias("path")).distinct(), "wanted")
         rows = placed.withColumn("idx", F.col("idx") + shift)
         return rows.alias("v").join(wanted.alias("w"), _same("v", "w", ["site", "stream", "idx", "path"]), "left_semi")
 
     # The records that both files of a change hold.
-    files_changed = candidates.select("site", "stream", "idx").distinct()
-    keys = placed.where("record_key is not null").select("site", "stream", "idx", "record_key").distinct()
-    held = keys.alias("k").join(keys.withColumn("idx", F.col("idx") + 1).alias("p"), _same("k", "p", ["site", "stream", "idx"]) & (F.col("k.record_key") == F.col("p.record_key")), "left_semi")
-    held = held.alias("h").join(files_changed.alias("c"), _same("h", "c", ["site", "stream", "idx"]), "left_semi")
+    at = ["site", "stream", "idx"]
+    around = written(changed.union(changed.withColumn("idx", F.col("idx") - 1)).distinct(), "around")
+    keys = placed.where("record_key is not null").select(*at, "record_key").alias("k").join(around.alias("a"), _same("k", "a", at), "left_semi").distinct()
+    both_files = keys.alias("k").join(keys.withColumn("idx", F.col("idx") + 1).alias("p"), _same("k", "p", at) & (F.col("k.record_key") == F.col("p.record_key")), "left_semi")
+    held = written(both_files.alias("h").join(changed.alias("c"), _same("h", "c", at), "left_semi"), "held")
 
     def digest(side: str, shift: int) -> DataFrame:
         """Of each field: one number for its values in the held records (absent and null alike), how many are there, a sketch of all."""
         rows = values(side, shift).where("value <> 'null'")
         own = held.withColumn("shared", F.lit(True))
-        at = ["site", "stream", "idx"]
         joined = rows.alias("r").join(own.alias("h"), _same("r", "h", at) & (F.col("r.record_key") == F.col("h.record_key")), "left").select("r.*", "h.shared")
         once = joined.groupBy(*at, "path", "record_key", "shared").agg(F.max("value").alias("value"))
         mix = F.when(F.col("shared"), F.xxhash64("record_key", "value"))
@@ -193,7 +195,6 @@ def _renames(flat: DataFrame, changes: DataFrame, files: DataFrame) -> DataFrame
         )
 
     old, new = digest("old", 1), digest("new", 0)
-    at = ["site", "stream", "idx"]
     known = (
         candidates.alias("c")
         .join(old.alias("a"), _same("c", "a", at) & (F.col("c.old_path") == F.col("a.path")))

@@ -206,7 +206,8 @@ def _renames(flat: DataFrame, changes: DataFrame, files: DataFrame) -> DataFrame
     admissible = known.select("c.site", "c.stream", "c.idx", "c.parent", "c.old_path", "c.new_path", "c.old_types", "c.new_types", overlap.alias("overlap"))
     types = {f.name: f.dataType.simpleString() for f in admissible.schema}
     # A group holds the changed fields of one object of one file: as many as it has members.
-    return admissible.groupBy("site", "stream", "idx", "parent").applyInPandas(_match, f"site {types['site']}, stream {types['stream']}, idx int, old_path string, new_path string")
+    cores = flat.sparkSession.sparkContext.defaultParallelism
+    return admissible.repartition(cores, "site", "stream", "idx", "parent").groupBy("site", "stream", "idx", "parent").applyInPandas(_match, f"site {types['site']}, stream {types['stream']}, idx int, old_path string, new_path string")
 
 
 def drift(records: DataFrame, flat: DataFrame | None = None) -> DataFrame:

@@ -79,16 +79,17 @@ BLOCK_ROWS = 2000
 def nearest_earlier(vectors: DataFrame, group: str, order: str, vector: str, least: float = FACE_MATCH) -> DataFrame:
     """Of each row the most similar strictly earlier row of its group, the first seen of equals: (order, best, score).
 
-    A group is dealt into blocks of bounded size, so that a hot one takes many
-    tasks; each pair of blocks is one matrix product. Rows with a null vector,
-    group or order have no match and are none; all vectors have one length.
+    A group is cut into blocks of bounded size by its order, so that a hot one
+    takes many tasks; a block meets itself and those before it, each pair of
+    blocks one matrix product. Rows with a null vector, group or order have no
+    match and are none; all vectors have one length.
     """
     rows = vectors.select(F.col(group).alias("g"), F.col(order).cast("bigint").alias("o"), F.col(vector).cast("array<double>").alias("v")).dropna()
+    placed = ordered.numbered(rows, "g", ["o"])
     blocks = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("o"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = dealt.select(F.col("g").alias("g1"), F.col("own").alias("x"), others.alias("y"), F.col("o").alias("o1"), F.col("v").alias("v1"))
-    right = dealt.select(F.col("g").alias("h"), others.alias("p"), F.col("own").alias("q"), F.col("o").alias("best"), F.col("v").alias("w"))
+    dealt = placed.join(blocks, "g").withColumn("own", F.floor((F.col("n") - 1) / BLOCK_ROWS).cast("int"))
+    left = dealt.select(F.col("g").alias("g1"), F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), "own")).alias("y"), F.col("o").alias("o1"), F.col("v").alias("v1"))
+    right = dealt.select(F.col("g").alias("h"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("p"), F.col("own").alias("q"), F.col("o").alias("best"), F.col("v").alias("w"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"o": [], "best": [], "score": []})

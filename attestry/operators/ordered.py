@@ -58,3 +58,12 @@ def highest_before(rows: DataFrame, key: str, order: list[str], value: str, name
     parts = parts.withColumn("_c", F.max("m").over(_before()))
     local = F.max(value).over(Window.partitionBy("_p", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return _carried(parts, key, ranged.withColumn("_h", local), ["_c"]).withColumn(name, F.greatest("_h", "_c")).drop("_h", "_c", "_p")
+
+
+def running_sum(rows: DataFrame, key: str, order: list[str], value: str, name: str = "total") -> DataFrame:
+    """``rows`` with the sum of ``value`` of their key up to them in ``order``."""
+    ranged = _ranged(rows, key, order)
+    parts = ranged.groupBy(F.col(key).alias("_k"), "_p").agg(F.sum(value).alias("m"))
+    parts = parts.withColumn("_c", F.coalesce(F.sum("m").over(_before()), F.lit(0)))
+    local = F.sum(value).over(Window.partitionBy("_p", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return _carried(parts, key, ranged.withColumn("_s", local), ["_c"]).withColumn(name, F.col("_s") + F.col("_c")).drop("_s", "_c", "_p")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.operators import grading as G
+from attestry.operators import ordered
 
 
 def aligned(counts: DataFrame, key: str, page: str) -> DataFrame:
@@ -79,11 +80,10 @@ def iou(a: str, b: str) -> Column:
 
 
 def merged_intervals(rows: DataFrame, key: str, start: str, end: str, gap: float) -> DataFrame:
-    """(key, start, end, n): intervals no further than ``gap`` apart joined into islands."""
-    before = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    running = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
-    fresh = F.coalesce(F.col(start) > F.max(end).over(before) + gap, F.lit(True))
-    island = rows.withColumn("_new", fresh.cast("int")).withColumn("_island", F.sum("_new").over(running))
+    """(key, start, end, n): intervals no further than ``gap`` apart joined into islands; a hot key takes many tasks."""
+    placed = ordered.highest_before(rows.select(key, start, end), key, [start, end], end)
+    fresh = placed.withColumn("_new", F.coalesce(F.col(start) > F.col("high") + gap, F.lit(True)).cast("int"))
+    island = ordered.running_sum(fresh.drop("high"), key, [start, end], "_new", "_island")
     return island.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 

@@ -91,8 +91,7 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hit of each payload of a page, in the order of scanning."""
-    w = Window.partitionBy("job_id", "page", "payload").orderBy("hit_id")
-    return _hits(spark, sf_dir).where("payload is not null").withColumn("n", F.row_number().over(w)).where("n = 1").select("hit_id", "job_id", "page")
+    return table(spark, sf_dir, "qr_hits").where("payload is not null").groupBy("job_id", "page", "payload").agg(F.min("hit_id").alias("hit_id")).select("hit_id", "job_id", "page")
 
 
 def session_islands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,8 +370,10 @@ def test_ordered_operators_with_a_hot_key(spark):
     numbered = {(x.k, x.i): x.n for x in ordered.numbered(df, "k", ["i"]).collect()}
     around = {(x.k, x.i): (x.previous_v, x.next_v, x.position) for x in ordered.neighbours(df, "k", ["i"], "v").collect()}
     highs = {(x.k, x.i): x.high for x in ordered.highest_before(df, "k", ["i"], "v").collect()}
+    sums = {(x.k, x.i): x.total for x in ordered.running_sum(df, "k", ["i"], "v").collect()}
     for k, own in by.items():
         for n, (i, v) in enumerate(own):
+            assert sums[k, i] == sum(x for _, x in own[: n + 1])
             assert numbered[k, i] == n + 1
             assert around[k, i] == (own[n - 1][1] if n else None, own[n + 1][1] if n + 1 < len(own) else None, n)
             assert highs[k, i] == (max(x for _, x in own[:n]) if n else None)

@@ -94,9 +94,9 @@ def propagate(edges: DataFrame) -> tuple[DataFrame, list[str]]:
         )
         after, after_at = written_at(small, "star")
         # Done when no vertex has two parents and no parent has one of its own.
-        twice = after.groupBy("v").count().where("count > 1").limit(1)
-        deep = after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1)
-        done = not twice.select("v").union(deep.select("v")).take(1)
+        ends = after.select(F.explode(F.array(F.struct(F.col("v").alias("n"), F.lit(1).alias("up")), F.struct(F.col("u").alias("n"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        moving = ends.groupBy("n").agg(F.sum("up").alias("parents"), F.min("up").alias("least")).where("parents > 1 or (parents = 1 and least = 0)")
+        done = not moving.limit(1).take(1)
         if at:
             dropped(edges.sparkSession, at)
         current, at = after, after_at

@@ -117,24 +117,30 @@ def components(links: DataFrame, a: str = "job_id", b: str = "other_id") -> Data
     """
     spark = links.sparkSession
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    edges, edges_at = written_at(undirected(pairs, "a", "b"), "edges")
+    named, named_at = written_at(undirected(pairs, "a", "b"), "named")
+    # Ids become numbers in the same order: rounds then shuffle eight bytes an end and aggregate by hash.
+    ids = named.select(F.explode(F.array("u", "v")).alias("id")).distinct().repartitionByRange("id").sortWithinPartitions("id")
+    ids, ids_at = written_at(ids.withColumn("n", F.monotonically_increasing_id()), "ids")
+    number = lambda side: ids.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"))
+    edges, edges_at = written_at(named.join(number("u"), "u").join(number("v"), "v").select(F.col("u_n").alias("u"), F.col("v_n").alias("v")), "edges")
     reached, rest, root, places = peel(edges)
     rest, rest_at = written_at(rest, "rest")
     labels, star_at = propagate(rest)
     labels, labels_at = written_at(labels, "labels")
-    if root is None:
-        out = labels.select(F.col("n").alias("id"), F.col("label").alias("group_id"))
-    else:
-        # The contracted set's vertices share the smallest of their own ids and of what the root's label covers.
+    # The contracted set's vertices share the smallest of their own ids and of what the root's label covers.
+    giant, others = None, labels
+    if root is not None:
         hung = labels.where(F.col("n") == F.lit(root)).select("label").collect()  # one row at most
         joined = F.col("label") == F.lit(hung[0].label) if hung else F.lit(False)
-        giant = reached.union(labels.where(joined).select("n")).distinct()
-        least = giant.agg(F.min("n")).first()[0]
-        others = labels.where(~joined).select(F.col("n").alias("id"), F.col("label").alias("group_id"))
-        out = others.union(giant.select(F.col("n").alias("id"), F.lit(least).alias("group_id")))
-    dropped(spark, edges_at, rest_at, *star_at)
+        giant, others = reached.union(labels.where(joined).select("n")).distinct(), labels.where(~joined)
+    # Small groups look their label up; the giant's, which would be a hot key, is one value.
+    out = others.join(ids, "n").select("id", "label").join(ids.select(F.col("n").alias("label"), F.col("id").alias("group_id")), "label").select("id", "group_id")
+    if giant is not None:
+        own = giant.join(ids, "n").select("id")
+        out = out.union(own.withColumn("group_id", F.lit(own.agg(F.min("id")).first()[0])))
+    dropped(spark, named_at, edges_at, rest_at, *star_at)
     out, _ = written_at(out, "groups")
-    dropped(spark, labels_at, *places)
+    dropped(spark, ids_at, labels_at, *places)
     return out
 
 

@@ -119,12 +119,22 @@ def confirmed(pairs: DataFrame) -> DataFrame:
     return kept.withColumns({c: job_key(F.col(c)) for c in ("job_id", "other_id")})
 
 
+#: Parts that a label's rows are dealt into where they look up its name: a group may hold a third of all ids.
+SALTS = 16
+
+
 def clusters(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(id, label)``: the smallest id of each id's group, by alternating star contractions: a long chain takes about log(length) rounds."""
     spark = edges.sparkSession
     both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    current, at = written_at(both.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "stars")
-    while True:
+    named, named_at = written_at(both.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "named")
+    # Ids become numbers in the same order: rounds then shuffle eight bytes an end and aggregate by hash.
+    ids = named.select(F.explode(F.array("u", "v")).alias("id")).distinct().repartitionByRange("id").sortWithinPartitions("id")
+    ids, ids_at = written_at(ids.withColumn("n", F.monotonically_increasing_id()), "ids")
+    number = lambda side: ids.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"))
+    current, at = written_at(named.join(number("u"), "u").join(number("v"), "v").select(F.col("u_n").alias("u"), F.col("v_n").alias("v")), "stars")
+    moving = True
+    while moving:
         ways = current.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("m")), F.struct(F.col("v").alias("n"), F.col("u").alias("m")))).alias("e")).select("e.*")
         # A vertex's larger neighbours, then its smaller ones and itself, move to the smallest of its neighbourhood.
         low = ways.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
@@ -132,13 +142,17 @@ def clusters(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("low"))
         small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("low").alias("u"), F.col("u").alias("v")), F.struct(F.col("low").alias("u"), F.col("v").alias("v")))).alias("e")).select("e.*")
         after, after_at = written_at(small.where("u < v").distinct(), "stars")
-        twice = after.groupBy("v").count().where("count > 1").select("v")
-        deep = after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("v")
-        moving = bool(twice.limit(1).union(deep.limit(1)).take(1))
+        # Done when no vertex hangs from two others, and none that others hang from.
+        ends = after.select(F.explode(F.array(F.struct(F.col("v").alias("n"), F.lit(1).alias("up")), F.struct(F.col("u").alias("n"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        moving = bool(ends.groupBy("n").agg(F.sum("up").alias("parents"), F.min("up").alias("least")).where("parents > 1 or (parents = 1 and least = 0)").limit(1).take(1))
         dropped(spark, at)
         current, at = after, after_at
-        if not moving:
-            return current.select(F.col("v").alias("id"), F.col("u").alias("label")).union(current.select(F.col("u"), F.col("u").alias("l")).distinct())
+    stars = current.select(F.col("v").alias("n"), F.col("u").alias("label")).union(current.select(F.col("u"), F.col("u").alias("l")).distinct())
+    own = stars.join(ids, "n").select("id", "label", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    roots = current.select(F.col("u").alias("n")).distinct().join(ids, "n").select(F.col("n").alias("label"), F.col("id").alias("name"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = written_at(own.join(roots, ["label", "salt"]).select("id", F.col("name").alias("label")), "clusters")[0]
+    dropped(spark, named_at, ids_at, at)
+    return out
 
 
 def named_clusters(edges: DataFrame, a: str, b: str, order: str) -> DataFrame:

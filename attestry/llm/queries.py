@@ -44,7 +44,7 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p8_packed(spark, sf_dir))
 
 
@@ -53,7 +53,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p4_found, p4_redacted, p7_ids, p8_packed, p8_fill, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p4_found, p4_redacted, p7_ids, p8_packed, p8_report, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
